@@ -107,7 +107,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = f"""
 WITH lines AS (
   SELECT d.doc_id, u.i - 1 AS ln, u.line AS line,
-         list_filter(regexp_split_to_array(regexp_replace(u.line, '[^ \\t\\r\\f\\x0b0-9]*[0-9][^ \\t\\r\\f\\x0b]*', '{FIELD}', 'g'), '[ \\t\\r\\f\\x0b]+'), x -> x <> '') AS t
+         list_filter(regexp_split_to_array(regexp_replace(u.line, '[^ \\t\\r\\f\\x0b0-9]*[0-9][^ \\t\\r\\f\\x0b]*', '{FIELD}', 'g'), '[ \\t\\r\\f\\x0b]+'), lambda x: x <> '') AS t
   FROM documents d, LATERAL (SELECT unnest(string_split(d.text, chr(10))) AS line, generate_subscripts(string_split(d.text, chr(10)), 1) AS i) u
 ), each AS (
   SELECT doc_id, ln, t, len(t) AS n, t[1:{LEADING}] AS lead FROM lines WHERE len(t) >= {LEAST_TOKENS}
@@ -117,7 +117,7 @@ WITH lines AS (
   SELECT n, lead, arg_min(t, first) AS seed FROM variants GROUP BY n, lead
 ), named AS (
   SELECT v.n, v.lead, v.t,
-         CASE WHEN len(list_filter(range(1, v.n + 1), i -> v.t[i] = s.seed[i])) >= {SIMILAR} * v.n THEN s.seed ELSE v.t END AS template
+         CASE WHEN len(list_filter(range(1, v.n + 1), lambda i: v.t[i] = s.seed[i])) >= {SIMILAR} * v.n THEN s.seed ELSE v.t END AS template
   FROM variants v JOIN seeds s ON v.n = s.n AND v.lead = s.lead
 ), placed AS (
   SELECT e.doc_id, e.ln, m.template FROM each e JOIN named m ON e.t = m.t

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import bpe, langid, line_templates, media, neighbours, packing, simhash, token_counts, token_files
+from plumbline.llm import bpe, langid, licences, line_templates, media, neighbours, packing, simhash, token_counts, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": media.query,
     "op2_packing": packing.query,
     "op3_token_files": token_files.query,
+    "op4_licences": licences.query,
     "op5_langid": langid.query,
     "op6_bpe": bpe.query,
     "op7_line_templates": line_templates.query,
