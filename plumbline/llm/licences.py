@@ -105,7 +105,7 @@ ANCHORS = ["licen", "copyright", "warrant", "permission", "redistribut", "public
 UNKNOWN = "unknown"
 WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 #: Documents of the sample for the unknown class, blurred examples for a family, share of word pairs to confirm.
-SAMPLE_DOCS, EXAMPLES, CONFIRM = 400, 160, 0.5
+SAMPLE_DOCS, EXAMPLES, CONFIRM = 400, 80, 0.5
 
 
 def words(text: str) -> list[str]:
@@ -173,6 +173,7 @@ def confirmed(family: str, text: str, least: float = CONFIRM) -> bool:
 
 def _examples(negatives: list[str], rng: np.random.Generator, n: int) -> tuple[list[str], list[str]]:
     texts, labels = [], []
+    pick = lambda x: x[int(rng.integers(0, len(x)))]
     filler = [w for t in negatives[:200] for w in t.split()] or ["text"]
     for family, own in TEMPLATES.items():
         for k in range(n):
@@ -184,27 +185,27 @@ def _examples(negatives: list[str], rng: np.random.Generator, n: int) -> tuple[l
             if len(ws) > 6:
                 ws = [w for w in ws if rng.random() > 0.08]
             if rng.random() < 0.4:
-                around = [str(rng.choice(filler)) for _ in range(int(rng.integers(1, 30)))]
+                around = [pick(filler) for _ in range(int(rng.integers(1, 30)))]
                 at = int(rng.integers(0, len(around) + 1))
                 ws = around[:at] + ws + around[at:]
             texts.append(" ".join(ws))
             labels.append(family)
     for k in range(n * 4):
         source = NO_LICENCE if k % 2 or not negatives else negatives
-        ws = str(source[int(rng.integers(0, len(source)))]).split()[:60]
+        ws = pick(source).split()[:60]
         if rng.random() < 0.5:  # words of licences that make none
-            ws += [str(rng.choice(str(rng.choice(NO_LICENCE)).split())) for _ in range(5)]
+            ws += [pick(pick(NO_LICENCE).split()) for _ in range(5)]
         texts.append(" ".join(ws))
         labels.append(UNKNOWN)
     return texts, labels
 
 
-def fit(negatives: list[str], seed: int = 11, rounds: int = 400, rate: float = 0.5, l1: float = 2e-4) -> Model:
+def fit(negatives: list[str], seed: int = 11, rounds: int = 300, rate: float = 0.5, l1: float = 2e-4) -> Model:
     """Fit and calibrate; ``negatives`` are paragraphs of the corpus that are no candidates."""
     rng = np.random.default_rng(seed)
     classes = [*TEMPLATES, UNKNOWN]
     index = {g: i for i, g in enumerate(sorted({g for own in [*TEMPLATES.values(), NO_LICENCE] for t in own for g in grams(words(t))}))}
-    model = Model(classes, index, np.zeros((len(index), len(classes))), np.zeros(len(classes)), 1.0, 0.5)
+    model = Model(classes, index, np.zeros((len(index), len(classes)), np.float32), np.zeros(len(classes), np.float32), 1.0, 0.5)
 
     def matrix(texts: list[str]) -> np.ndarray:
         x = np.zeros((len(texts), len(index)), np.float32)
@@ -214,10 +215,11 @@ def fit(negatives: list[str], seed: int = 11, rounds: int = 400, rate: float = 0
 
     texts, labels = _examples(negatives, rng, EXAMPLES)
     x, y = matrix(texts), np.array([classes.index(c) for c in labels])
-    target = np.eye(len(classes))[y]
+    target = np.eye(len(classes), dtype=np.float32)[y]
+    back = np.ascontiguousarray(x.T)
     for _ in range(rounds):
         err = (_softmax(x @ model.weights + model.bias) - target) / len(x)
-        w = model.weights - rate * 20 * (x.T @ err)
+        w = model.weights - rate * 20 * (back @ err)
         model.weights = np.sign(w) * np.maximum(np.abs(w) - rate * 20 * l1, 0)
         model.bias -= rate * err.sum(axis=0)
     used = np.flatnonzero(np.abs(model.weights).sum(axis=1))
