@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import small_batches, table
+from plumbline.llm.common import cut, small_batches, table
 
 UNIT = 64
 RATE = 8000
@@ -32,7 +32,7 @@ LEAST, MEAN, MOST = 2048, 8192, 65536
 WINDOW = 32
 
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 1) for b in range(256)], dtype=np.uint32)
-CHUNKS = "rid long, doc_id long, n_bytes long, whole binary, seq long, digest binary, data binary"
+CHUNKS = "rid long, doc_id long, n_bytes long, whole binary, chunks int, seq long, digest binary, data binary"
 
 
 def payload(text: str | None) -> tuple[int, bytes]:
@@ -110,14 +110,14 @@ def chunked(docs: DataFrame, with_data: bool) -> DataFrame:
             for rid, doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 n, data = payload(text.as_py())
                 stored = to_wav(data)
-                at = 0
-                for seq, end in enumerate(cuts(stored)):
+                at, ends = 0, cuts(stored)
+                for seq, end in enumerate(ends):
                     piece = stored[at:end]
                     at = end
                     whole = hashlib.sha256(stored).digest() if not seq and not with_data else None
-                    for to, x in zip(rows, (rid, doc_id, n, whole, seq, hashlib.sha256(piece).digest(), pack.compress(piece) if with_data else None), strict=True):
+                    for to, x in zip(rows, (rid, doc_id, n, whole, len(ends), seq, hashlib.sha256(piece).digest(), pack.compress(piece) if with_data else None), strict=True):
                         to.append(x)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], names=names)
 
     small_batches(docs.sparkSession)
@@ -132,7 +132,7 @@ def chunk_store(docs: DataFrame) -> DataFrame:
 
 def chunk_lists(docs: DataFrame) -> DataFrame:
     """The ordered digests of every document, and with the first the digest of the whole stored file."""
-    return chunked(docs, False).drop("data")
+    return cut(chunked(docs, False).drop("data"), "chunk-lists")
 
 
 OUT = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, chunks int"
@@ -151,7 +151,7 @@ def read_media(lists: DataFrame, store: DataFrame) -> DataFrame:
         def made(parts: list[dict]) -> tuple:
             stored = b"".join(unpack.decompress(x["data"]) for x in parts)
             digest = hashlib.sha256(stored)
-            if digest.digest() != parts[0]["whole"] or [x["seq"] for x in parts] != list(range(len(parts))):
+            if digest.digest() != parts[0]["whole"] or [x["seq"] for x in parts] != list(range(parts[0]["chunks"])):
                 raise ValueError(f"document {parts[0]['doc_id']}: the chunks don't give the stored file")
             samples = from_wav(stored)
             data = samples.tobytes()
@@ -164,20 +164,24 @@ def read_media(lists: DataFrame, store: DataFrame) -> DataFrame:
         parts: list[dict] = []
         for b in batches:
             rows = []
-            cols = [b.column(n).to_pylist() for n in ("rid", "doc_id", "n_bytes", "whole", "seq", "data")]
-            for rid, doc_id, n_bytes, whole, seq, data in zip(*cols, strict=True):
-                if parts and parts[0]["rid"] != rid:
+            for x in (dict(zip(b.schema.names, r, strict=True)) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)):
+                if parts and parts[0]["rid"] != x["rid"]:
                     rows.append(made(parts))
                     parts = []
-                parts.append({"rid": rid, "doc_id": doc_id, "n_bytes": n_bytes, "whole": whole, "seq": seq, "data": data})
+                parts.append(x)
             if rows:
                 yield out(rows)
         if parts:
             yield out([made(parts)])
 
     small_batches(lists.sparkSession)
-    found = lists.join(store, "digest", "left").select("rid", "doc_id", "n_bytes", "whole", "seq", "data")
-    return found.repartition("rid").sortWithinPartitions("rid", "seq").mapInArrow(run, OUT)
+
+    def joined(some: DataFrame) -> DataFrame:
+        return some.join(store, "digest", "left").select("rid", "doc_id", "n_bytes", "whole", "chunks", "seq", "data")
+
+    # a file of one chunk is whole where it is joined; the chunks of others are brought together
+    one, more = joined(lists.where("chunks = 1")), joined(lists.where("chunks > 1"))
+    return one.mapInArrow(run, OUT).union(more.repartition("rid").sortWithinPartitions("rid", "seq").mapInArrow(run, OUT))
 
 
 def media(docs: DataFrame) -> DataFrame:
