@@ -214,9 +214,10 @@ def ladder(mappings: DataFrame, existing: DataFrame, scan_files: DataFrame, prof
     tails = scan_files.select("path", F.explode(G.suffixes(F.col("path"))).alias("token"))
     asked = tails.join(tokens, "token", "left_semi")
     found = asked.groupBy("token").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("path")), ", ").alias("all"), F.min("path").alias("only"))
-    rung = tokens.join(exact, "token", "left").join(found, "token", "left")
+    # a directory may be written with a slash at its end
+    rung = tokens.join(exact.withColumnRenamed("token", "bare"), F.rtrim("token", F.lit("/")) == F.col("bare"), "left").drop("bare").join(found, "token", "left")
     met = mappings.where(F.col("target_path").isNotNull()).join(rung.withColumnRenamed("token", "target_path"), "target_path", "left")
-    told = {"path": "spec_path", "section_id": "section_id", "symbol": "target"}
+    told = {"path": "spec_path", "section_id": "section_id", "symbol": "target_symbol"}
     inexact = met.where("exact is null and n = 1").select(*finding("MAPPING_PATH_INEXACT", F.concat(F.lit("stands for "), "only"), **told))
     many = met.where("exact is null and n > 1").select(*finding("TARGET_PATH_AMBIGUOUS", F.concat(F.lit("could be "), "all"), **told))
     planned = F.col("target_path").endswith(".md") & G.under(F.col("target_path"), profile.plan_roots)
@@ -229,7 +230,7 @@ def ladder(mappings: DataFrame, existing: DataFrame, scan_files: DataFrame, prof
 
 def mapped_symbols(mappings: DataFrame, resolved: DataFrame, parsed: DataFrame, symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edges, findings): path tokens give edges; symbols are looked up in their file if it was parsed."""
-    told = {"path": "spec_path", "section_id": "section_id", "symbol": "target"}
+    told = {"path": "spec_path", "section_id": "section_id", "symbol": "target_symbol"}
     unresolved = lambda df, why: df.select(*finding("MAPPING_SYMBOL_UNRESOLVED", F.lit(why), **told))
     bare = unresolved(mappings.where("kind = 'symbol'"), "a symbol without a file")
     plain = _mapping_edge(resolved.where("kind = 'path'").withColumn("none", F.lit(None).cast("string")), "resolved_path", "none")
@@ -262,7 +263,7 @@ def reciprocal(sections: DataFrame, mappings: DataFrame, edges: DataFrame, profi
     unmapped = sections.join(declared, KEY, "left_anti")
     cited = back.select(F.col("spec_path").alias("path"), "section_id", "code_path", "code_symbol", "line")
     unknown = cited.join(declared, KEY, "left_anti")
-    covered = to.distinct().withColumnRenamed("code_path", "target")
+    covered = to.select(*KEY, F.rtrim("code_path", F.lit("/")).alias("target")).distinct()
     above = cited.join(to.select(*KEY).distinct(), KEY, "left_semi")
     each = above.select("*", F.explode(G.ancestors(F.col("code_path"))).alias("target"))
     safe = each.join(covered, [*KEY, "target"], "left_semi").select(*KEY, "code_path").distinct()

@@ -174,24 +174,24 @@ def planned_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- mappings ---------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {MAPPINGS} SELECT section_id, target, line, CASE WHEN k % 3 = 0 THEN CASE WHEN size < 50 THEN 'exact' ELSE 'missing' END WHEN size < 10 THEN 'ambiguous' WHEN size < 50 THEN 'inexact' ELSE 'missing' END AS rung FROM mappings")
+@query(f"WITH {MAPPINGS} SELECT section_id, line, CASE WHEN k % 3 = 0 THEN CASE WHEN size < 50 THEN 'exact' ELSE 'missing' END WHEN size < 10 THEN 'ambiguous' WHEN size < 50 THEN 'inexact' ELSE 'missing' END AS rung FROM mappings")
 def mapping_suffix_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = T.scan_files(spark)
     mappings = T.mappings(spark, sf_dir)
     resolved, found = R.ladder(mappings, files, files, T.PROFILE)
     name = F.when(F.col("code") == "MAPPING_PATH_INEXACT", "inexact").when(F.col("code") == "TARGET_PATH_AMBIGUOUS", "ambiguous").otherwise("missing")
-    told = found.select("section_id", F.col("symbol").alias("target"), "line", name.alias("rung"))
-    exact = resolved.where("resolved_path = target_path").select("section_id", "target", "line", F.lit("exact"))
+    told = found.select("section_id", "line", name.alias("rung"))
+    exact = resolved.where("resolved_path = target_path").select("section_id", "line", F.lit("exact"))
     return told.union(exact)
 
 
-@query(f"WITH {MAPPINGS} SELECT section_id, target, k % 40 < 30 AS found FROM mappings WHERE k % 6 = 0 AND size < 50")
+@query(f"WITH {MAPPINGS} SELECT section_id, 'load_' || (k % 40) AS symbol, k % 40 < 30 AS found FROM mappings WHERE k % 6 = 0 AND size < 50")
 def symbol_inventory_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = T.scan_files(spark)
     mappings = T.mappings(spark, sf_dir).where("kind = 'path_symbol'")
     resolved, _ = R.ladder(mappings, files, files, T.PROFILE)
     edges, missing = R.mapped_symbols(mappings, resolved, files, T.symbols(spark))
-    found = edges.select("section_id", F.concat_ws("::", "code_path", "code_symbol").alias("target"), F.lit(True).alias("found"))
+    found = edges.select("section_id", F.col("code_symbol").alias("symbol"), F.lit(True).alias("found"))
     return found.union(missing.select("section_id", "symbol", F.lit(False)))
 
 
