@@ -19,11 +19,11 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import cut, shuffle_parts, small_batches, table
 
 #: Neighbours of a node, rounds of descent, random orders to start from and neighbours taken there on each side.
-K, ROUNDS, ORDERS, BESIDE = 20, 6, 6, 3
+K, ROUNDS, ORDERS, BESIDE = 20, 4, 6, 3
 #: Backward neighbours that a node compares in a round (others have their turn elsewhere: an edge is in two lists).
-BACKWARD = 20
+BACKWARD = 16
 #: Nodes that a query holds, nodes it expands in a step, entry nodes.
-HOLD, EXPAND, ENTRIES = 192, 48, 64
+HOLD, EXPAND, ENTRIES = 256, 128, 64
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -44,11 +44,25 @@ def nodes(vectors: DataFrame, keep: int) -> DataFrame:
     part = keyed.groupBy("h", "v", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("p")).agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))
     part = part.withColumn("ids", F.slice("ids", 1, keep))
     whole = part.groupBy("h", "v").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, keep).alias("ids"))
-    big = F.array_max(F.transform("v", F.abs))
-    scaled = F.transform("v", lambda x: x / big)
-    norm = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda a, x: a + x * x))
-    unit = F.transform(scaled, lambda x: (x / norm).cast("float"))
-    return whole.select(F.get("ids", F.lit(0)).alias("node"), "v", unit.alias("u"), "ids")
+    rows = whole.select(F.get("ids", F.lit(0)).alias("node"), "v", "ids")
+    return _with_units(rows, "v", "u", "node long, v array<double>, ids array<long>")
+
+
+def _with_units(rows: DataFrame, of: str, to: str, schema: str) -> DataFrame:
+    """``rows`` (of ``schema``) with the unit vectors of a column; scaled first, so that nothing over- or underflows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v = _scaled(_matrix(b.column(b.schema.get_field_index(of))))
+            u = (v / np.sqrt((v * v).sum(axis=1, keepdims=True))).astype(np.float32) if len(b) else v
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(u), pa.list_(pa.float32()))], names=[*b.schema.names, to])
+
+    small_batches(rows.sparkSession)
+    return rows.mapInArrow(run, f"{schema}, {to} array<float>")
+
+
+def _scaled(v: np.ndarray) -> np.ndarray:
+    return v / np.abs(v).max(axis=1, keepdims=True) if len(v) else v
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -59,14 +73,20 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
-    """(a, near): the k nearest b of each a, as an array of (s, b), nearest first; from rows (a, b, s)."""
-    best = found.groupBy("a", "b").agg(F.max("s").alias("s"))
-    pair = F.struct((-F.col("s")).alias("d"), "b")
-    return best.groupBy("a").agg(F.slice(F.array_sort(F.collect_list(pair)), 1, k).alias("near"))
+    """(a, near): the k nearest b of each a, as an array of (d, b), nearest first; from rows (a, b, d).
+
+    d is the cosine in ten-thousandths, negative so that the nearest sorts first; equal pairs fold into one.
+    """
+    pairs = F.array_sort(F.collect_set(F.struct("d", "b")))
+    return found.groupBy("a").agg(F.slice(pairs, 1, k).alias("near"))
+
+
+def _graded(s: np.ndarray) -> np.ndarray:
+    return np.rint(s * -10000).astype(np.int32)
 
 
 def _start(units: DataFrame, dim: int, orders: int, beside: int, parts: int) -> DataFrame:
-    """(a, b, s): neighbours along ``orders`` random directions."""
+    """(a, b, d): neighbours along ``orders`` random directions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_ids, held = np.zeros(0, np.int64), np.zeros((0, dim), np.float32)
@@ -83,21 +103,28 @@ def _start(units: DataFrame, dim: int, orders: int, beside: int, parts: int) ->
                 s.append((u[i] * u[i + d]).sum(axis=1))
             a, c, s = np.concatenate(a), np.concatenate(c), np.concatenate(s).astype(np.float32)
             held_ids, held = ids[-beside:], u[-beside:]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, c])), pa.array(np.concatenate([c, a])), pa.array(np.concatenate([s, s]))], names=["a", "b", "s"])
+            d = _graded(s)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, c])), pa.array(np.concatenate([c, a])), pa.array(np.concatenate([d, d]))], names=["a", "b", "d"])
+
+    directions = np.random.default_rng(7).standard_normal((orders, dim)).astype(np.float32)
 
-    rng = np.random.default_rng(7)
-    made = []
-    for direction in rng.standard_normal((orders, dim)):
-        along = F.aggregate(F.zip_with("u", F.array(*[F.lit(float(x)) for x in direction]), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-        made.append(units.select("node", "u", along.alias("at")).repartitionByRange(parts, "at", "node").sortWithinPartitions("at", "node").select("node", "u").mapInArrow(run, "a long, b long, s float"))
-    out = made[0]
-    for m in made[1:]:
-        out = out.union(m)
-    return out
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = _matrix(b.column(1)).reshape(len(b), dim) @ directions.T
+            n = len(b)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(b.column(0).to_numpy(), orders)), pa.array(np.tile(np.arange(orders, dtype=np.int32), n)), pa.array(at.reshape(-1)), b.column(1).take(pa.array(np.repeat(np.arange(n), orders)))],
+                names=["node", "turn", "at", "u"],
+            )
+
+    # all orders at once: a range partition holds a stretch of one order, and neighbours are paired inside it
+    every = units.mapInArrow(project, "node long, turn int, at float, u array<float>")
+    placed = every.repartitionByRange(max(parts, orders), "turn", "at", "node").sortWithinPartitions("turn", "at", "node")
+    return placed.select("node", "u").mapInArrow(run, "a long, b long, d int")
 
 
 def build(units: DataFrame, dim: int, k: int = K, rounds: int = ROUNDS) -> DataFrame:
-    """(a, near): the graph over ``units`` (node, u): each node's k nearest as found, an array of (d, b), d = -cosine."""
+    """(a, near): the graph over ``units`` (node, u): each node's k nearest as found, an array of (d, b), d falling with the cosine."""
     parts = shuffle_parts(units.sparkSession)
     graph = cut(_top(_start(units, dim, ORDERS, BESIDE, parts), k), "graph")
 
@@ -107,7 +134,7 @@ def build(units: DataFrame, dim: int, k: int = K, rounds: int = ROUNDS) -> DataF
             sizes = np.diff(lists.offsets.to_numpy())
             rows = lists.flatten()
             ids = rows.field(0).to_numpy()
-            u = _matrix(rows.field(1))
+            u = np.frombuffer(b"".join(rows.field(1).to_pylist()), np.float16).reshape(len(ids), -1).astype(np.float32)
             a, c, s, at = [], [], [], 0
             for n in sizes:
                 own, x = ids[at : at + n], u[at : at + n]
@@ -122,28 +149,36 @@ def build(units: DataFrame, dim: int, k: int = K, rounds: int = ROUNDS) -> DataF
                 c.append(own[best].reshape(-1))
                 s.append(np.take_along_axis(sims, best, axis=1).reshape(-1))
             cols = [np.concatenate(x) if x else np.zeros(0, t) for x, t in ((a, np.int64), (c, np.int64), (s, np.float32))]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["a", "b", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(_graded(cols[2]))], names=["a", "b", "d"])
+
+    def halve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in _matrix(b.column(1)).astype(np.float16)], pa.binary())], names=["b", "u"])
 
+    half = cut(units.mapInArrow(halve, "b long, u binary"), "half")
     for step in range(rounds):
         edges = graph.select("a", F.explode("near").alias("x")).select("a", "x.b", "x.d")
         turn = F.xxhash64(F.lit(step), "a", "b")
         back = edges.groupBy(F.col("b").alias("a")).agg(F.slice(F.array_sort(F.collect_list(F.struct(turn.alias("r"), F.col("a").alias("b")))), 1, BACKWARD).alias("x"))
-        back = back.select("a", F.explode("x.b").alias("b"))
-        around = edges.select("a", "b").union(back).distinct()
-        met = around.join(units.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.collect_list(F.struct("b", "u")).alias("x"))
+        both = graph.select("a", F.transform("near", lambda x: x["b"]).alias("n")).join(back.select("a", F.transform("x", lambda x: x["b"]).alias("m")), "a", "left")
+        around = both.select("a", F.explode(F.array_distinct(F.concat("n", F.coalesce("m", F.array().cast("array<long>"))))).alias("b"))
+        met = around.join(half, "b").groupBy("a").agg(F.collect_list(F.struct("b", "u")).alias("x"))
         small_batches(units.sparkSession, 500)
-        found = met.select("x").mapInArrow(compare, "a long, b long, s float")
-        old = edges.select("a", "b", (-F.col("d")).cast("float").alias("s"))
-        graph = cut(_top(old.union(found.where("a != b")), k), "graph")
+        found = met.select("x").mapInArrow(compare, "a long, b long, d int")
+        graph = cut(_top(edges.select("a", "b", "d").union(found.where("a != b")), k), "graph")
     return graph
 
 
-def _cosine(v: Column, w: Column) -> Column:
-    """In double precision; both are scaled by their largest component first, so that nothing over- or underflows."""
-    scaled = lambda x: F.transform(x, lambda y: y / F.array_max(F.transform(x, F.abs)))
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
-    a, b = scaled(v), scaled(w)
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+def _scored(rows: DataFrame) -> DataFrame:
+    """(q, score, ids) of rows (q, qv, v, ids): the cosine of the vectors as given, in double precision."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = _scaled(_matrix(b.column(1))), _scaled(_matrix(b.column(2)))
+            s = (x * y).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1))) if len(b) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), b.column(3)], names=["q", "score", "ids"])
+
+    return rows.select("q", "qv", "v", "ids").mapInArrow(run, "q long, score double, ids array<long>")
 
 
 def walk(queries: DataFrame, graph: DataFrame, units: DataFrame, hold: int = HOLD, expand: int = EXPAND) -> DataFrame:
@@ -153,7 +188,6 @@ def walk(queries: DataFrame, graph: DataFrame, units: DataFrame, hold: int = HOL
     """
     entries = units.select("node", "u").orderBy(F.xxhash64("node"), "node").limit(ENTRIES)
     dot = F.aggregate(F.zip_with("qu", "u", lambda x, y: (x * y).cast("double")), F.lit(0.0), lambda s, x: s + x)
-    queries = cut(queries, "queries")
     # a fixed number of entries (not of rows) for each query: the product has ENTRIES rows a query
     first = queries.join(F.broadcast(entries)).select("q", "node", dot.alias("s"), F.lit(False).alias("done"))
     pool = first
@@ -193,10 +227,10 @@ def search(vectors: DataFrame, is_query: Column, top: int = 5, id_col: str = "ve
     units = every.select("node", "u")
     graph = build(units, dims[0]["n"])
     asked = rows.where(is_query).select(F.col("vec_id").alias("q"), F.col("v").alias("qv"), F.xxhash64("v").alias("h")).dropDuplicates(["q", "h"])
-    unit = F.transform("qv", lambda x: (x / F.sqrt(F.aggregate(F.col("qv"), F.lit(0.0), lambda s, y: s + y * y))).cast("float"))
-    held = walk(asked.select("q", unit.alias("qu")), graph, units)
-    exact = held.join(asked.select("q", "qv"), "q").join(every.select("node", "v", "ids"), "node")
-    exact = exact.select("q", F.explode("ids").alias("vec_id"), _cosine(F.col("qv"), F.col("v")).alias("score")).where("vec_id != q")
+    asked = cut(_with_units(asked.select("q", "qv"), "qv", "qu", "q long, qv array<double>"), "asked")
+    held = walk(asked.select("q", "qu"), graph, units)
+    exact = _scored(held.join(asked.select("q", "qv"), "q").join(every.select("node", "v", "ids"), "node"))
+    exact = exact.select("q", F.explode("ids").alias("vec_id"), "score").where("vec_id != q")
     best = exact.groupBy("q").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("score")).alias("d"), "vec_id"))), 1, top).alias("x"))
     out = best.select(F.col("q").alias("query_id"), F.posexplode("x").alias("i", "r"))
     return out.select("query_id", (F.col("i") + 1).alias("rank"), F.col("r.vec_id").alias("vec_id"), (-F.col("r.d")).alias("score"))
