@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from plumbline.plans.storage import cut, fresh_path, shared_dir
+
+__all__ = ["BATCH_ROWS", "cut", "fresh_path", "shared_dir", "shuffle_parts", "small_batches", "table"]
+
 #: Rows of one Arrow batch handed to Python: with texts of a few KB a batch stays in the low MB.
 BATCH_ROWS = 2000
 
@@ -23,40 +22,5 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset a local session (tests) gets a temporary folder; a cluster must name one.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="plumbline-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, kind: str) -> str:
-    return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, kind: str = "step") -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    The lineage ends there, so a lost executor costs a read of this table and not what made it.
-    """
-    path = fresh_path(df.sparkSession, kind)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def texts(batch: pa.RecordBatch, name: str = "text") -> Iterator[str]:
-    """The texts of a batch one at a time; null is the empty text."""
-    for x in batch.column(batch.schema.get_field_index(name)):
-        yield x.as_py() or ""
