@@ -30,7 +30,7 @@ def id_base(c: Column) -> Column:
 
 
 def id_number(c: Column) -> Column:
-    return F.regexp_extract(c, FINAL_NUMBER, 2).cast("long")
+    return F.regexp_extract(c, FINAL_NUMBER, 2).try_cast("long")
 
 
 def expand_range(start: Column, end: Column) -> Column:

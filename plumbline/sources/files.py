@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from fnmatch import fnmatch
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -59,7 +60,22 @@ def _listed(spark: SparkSession, paths: list[str], base: str, pattern: str | Non
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     found = reader.load(paths)
-    return found.select(F.substring("path", len(base) + 2, 1 << 20).alias("path"), "content")
+    return found.select(F.substring("path", len(base) + 2, 1 << 20).alias("path"), "content").unionByName(_empty(spark, paths, base, pattern))
+
+
+def _empty(spark: SparkSession, paths: list[str], base: str, pattern: str | None) -> DataFrame:
+    """Files of no bytes, which Spark's own listing leaves out; names come from Hadoop's, contents are empty."""
+    names = []
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+        while found.hasNext():
+            f = found.next()
+            if f.getLen() == 0:
+                name = f.getPath().toString()[len(base) + 1 :]
+                if pattern is None or fnmatch(name.rpartition("/")[2], pattern):
+                    names.append((name,))
+    return spark.createDataFrame(names, "path string").withColumn("content", F.lit(b""))
 
 
 def scan(spark: SparkSession, repo: str, roots: list[str], pattern: str, excludes: list[str] = EXCLUDES) -> tuple[DataFrame | None, list[str]]:
