@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,12 +54,12 @@ def histogram(issues: DataFrame) -> DataFrame:
 
 def summary(sections: DataFrame, refs: DataFrame, mappings: DataFrame, invariants: DataFrame, issues: DataFrame) -> DataFrame:
     """The seven counts of a report, one row."""
-    counted = [df.agg(F.count("*").alias(name)) for name, df in (("spec_sections", sections), ("code_refs", refs), ("spec_mappings", mappings), ("invariants", invariants))]
-    by = issues.agg(*[F.count_if(F.col("severity") == s).alias(n) for s, n in (("error", "errors"), ("warning", "warnings"), ("info", "infos"))])
-    out = counted[0]
-    for c in [*counted[1:], by]:
-        out = out.join(c)  # one row each
-    return out
+    each = [df.select(F.lit(name).alias("name"), F.lit(1).alias("x")) for name, df in (("spec_sections", sections), ("code_refs", refs), ("spec_mappings", mappings), ("invariants", invariants))]
+    plural = F.concat(F.col("severity"), F.lit("s"))
+    each.append(issues.select(plural.alias("name"), F.lit(1).alias("x")))
+    n = reduce(DataFrame.union, each).groupBy("name").agg(F.count("x").alias("n"))
+    names = ["spec_sections", "code_refs", "spec_mappings", "invariants", "errors", "warnings", "infos"]
+    return n.agg(*[F.coalesce(F.max(F.when(F.col("name") == x, F.col("n"))), F.lit(0)).alias(x) for x in names])
 
 
 def failing(issues: DataFrame, policy: Policy, warnings_as_errors: bool = False) -> bool:

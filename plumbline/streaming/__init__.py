@@ -1 +1 @@
-
+"""Empty: what this engine matches has no streams, watermarks or state."""
