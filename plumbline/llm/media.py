@@ -190,7 +190,13 @@ def media(docs: DataFrame) -> DataFrame:
     A null text is the empty text; its payload is 64 zero bytes. Null doc_ids keep their rows. An empty table
     gives no rows; other columns, whatever their names, play no part.
     """
-    return read_media(chunk_lists(docs), chunk_store(docs))
+    lists = chunk_lists(docs)
+    heads = lists.where("seq = 0").select("rid", "doc_id", "n_bytes", "whole")
+    # copies of a text are one file: it is put together once, and the copies meet its features in a join that splits
+    once = heads.groupBy("whole").agg(F.min("rid").alias("rid")).select("rid")
+    files = read_media(lists.join(once, "rid", "left_semi"), chunk_store(docs)).drop("doc_id", "n_bytes")
+    found = heads.withColumn("media_sha256", F.lower(F.hex("whole"))).join(files, "media_sha256", "left")
+    return found.select(*[f.split()[0] for f in OUT.split(", ")])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
