@@ -15,6 +15,7 @@ from plumbline.operators import packets, policy, suppress, validate
 from plumbline.operators import resolve as R
 from plumbline.plans.registry import Policy
 from plumbline.plans.storage import cut
+from plumbline.sources import files
 from plumbline.sources import table_corpus as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -519,3 +520,34 @@ def report_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def report_order_in_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     issues, _ = policy.apply(_synthetic(spark, sf_dir), Policy())
     return issues.select("symbol", F.row_number().over(Window.partitionBy("path").orderBy(policy.rank(), "line", "symbol")).alias("place"))
+
+
+# --- readers ----------------------------------------------------------------------------------------------
+
+
+def _rendered(rows: DataFrame, text: str) -> DataFrame:
+    """(path, content, root) of files put together from rows (path, n, text) in the order of n."""
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", text))), lambda x: x[text]), "\n")
+    return rows.groupBy("path").agg(body.cast("binary").alias("content")).withColumn("root", F.lit(0))
+
+
+@query("SELECT 'docs/specs/' || replace(p_brand, '#', '-') || '.md' AS path, 'PRT-' || p_partkey AS section_id, p_name AS title, CASE p_partkey % 2 WHEN 0 THEN 'src/m' || p_size || '.py' ELSE '' END AS target FROM part")
+def md_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Specifications as Markdown, one for each brand, read back: sections and what they map to."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    path = F.concat(F.lit("docs/specs/"), F.replace(F.col("p_brand"), F.lit("#"), F.lit("-")), F.lit(".md"))
+    mapping = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("\n_Implementation mapping_:\n- `src/m"), F.col("p_size").cast("string"), F.lit(".py`\n"))).otherwise("\nNothing is mapped here.\n")
+    text = F.concat(F.lit("## "), F.col("p_name"), F.lit(" [PRT-"), F.col("p_partkey").cast("string"), F.lit("]\n"), mapping)
+    parsed = cut(files.parse(_rendered(p.select(path.alias("path"), F.col("p_partkey").alias("n"), text.alias("text")), "text"), "md", [], "plumbline", False), "specs")
+    sections = files._relation(parsed, "section").select("path", "section_id", "title")
+    mapped = files._relation(parsed, "mapping").select("path", "section_id", "target")
+    return sections.join(mapped, ["path", "section_id"], "left").fillna("", "target")
+
+
+@query(f"WITH {ORDERS} SELECT path, owner_symbol, CASE WHEN m < 2 THEN 'asserted' ELSE 'docstring' END AS ref_context, CASE m WHEN 0 THEN 'PRT-' || (c % 150) WHEN 1 THEN 'PRT-' || c WHEN 2 THEN 'PRT-' || c || ',PRT-' || (c + 1) WHEN 5 THEN 'PRT-1' WHEN 7 THEN 'N-1,ZZZ-' || c || ',NAT-' || (c % 30) ELSE '' END AS ids FROM o")
+def py_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code as Python, one file for each path, read back: references with their owners."""
+    lines = T.code_lines(spark, sf_dir)
+    text = F.concat(F.lit("def "), F.col("owner_symbol"), F.lit("():\n    \"\"\""), F.col("raw"), F.lit("\"\"\"\n    return 1\n\n"))
+    parsed = files.parse(_rendered(lines.select("path", F.col("owner_symbol").alias("n"), text.alias("text")), "text"), "py", [], "plumbline", False)
+    return files._relation(parsed, "ref").select("path", "owner_symbol", "ref_context", F.array_join("section_ids", ",").alias("ids"))
