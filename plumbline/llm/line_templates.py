@@ -46,7 +46,9 @@ def _joined(docs: DataFrame, variants: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.min(F.struct("first", "h")).alias("seed"), F.max("last").alias("last")
     )
     leaves = leaves.where((F.col("n") > 1) & F.col("last").isNotNull() & ~F.col("last").eqNullSafe(F.col("seed.first.doc")))
-    wanted = variants.join(leaves.select("leaf", F.col("seed.h").alias("seed")), "leaf")
+    # as a table of its own, so that Spark can split a leaf with very many lines when it joins
+    leaves = cut(leaves.select("leaf", F.col("seed.h").alias("seed")), "leaves")
+    wanted = variants.join(leaves, "leaf")
     by_doc = wanted.groupBy(F.col("first.doc").alias("d"), F.col("first.th").alias("dth")).agg(
         F.collect_list(F.struct(F.col("first.ln").alias("ln"), "leaf", "h", "seed")).alias("w")
     )
@@ -56,7 +58,7 @@ def _joined(docs: DataFrame, variants: DataFrame) -> DataFrame:
         "w.leaf", "w.h", "w.seed", tokens(F.get(F.split("text", "\n"), F.col("w.ln"))).alias("t")
     )
     fetched = cut(fetched, "lines")
-    seeds = fetched.where("h = seed").select("leaf", F.col("t").alias("s")).dropDuplicates(["leaf"])
+    seeds = cut(fetched.where("h = seed").select("leaf", F.col("t").alias("s")).dropDuplicates(["leaf"]), "seeds")
     equal = F.aggregate(F.zip_with("t", "s", lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, x: n + x)
     both = fetched.join(seeds, "leaf").where(equal >= F.lit(SIMILAR) * F.size("t"))
     return both.select("leaf", "h", "seed").distinct()
@@ -71,7 +73,8 @@ def recurring(docs: DataFrame) -> DataFrame:
     named = variants.join(joined, ["leaf", "h"], "left").withColumn("template", F.coalesce("seed", "h"))
     owners = named.groupBy("leaf", "template").agg(F.min("first").alias("own"), F.max("last").alias("last"))
     owners = owners.where(F.col("last").isNotNull() & ~F.col("last").eqNullSafe(F.col("own.doc")))
-    kept = named.join(owners.select("leaf", "template", F.col("own.doc").alias("owner")), ["leaf", "template"]).select("leaf", "h", "owner")
+    owners = cut(owners.select("leaf", "template", F.col("own.doc").alias("owner")), "owners")
+    kept = named.join(owners, ["leaf", "template"]).select("leaf", "h", "owner")
     return lines.join(kept, ["leaf", "h"]).where(~F.col("doc").eqNullSafe(F.col("owner"))).select("doc", "th", "ln")
 
 
