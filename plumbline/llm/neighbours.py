@@ -186,28 +186,54 @@ def walk(queries: DataFrame, graph: DataFrame, units: DataFrame, hold: int = HOL
 
     Entry nodes are the same for all queries: those with the lowest hash, ``ENTRIES`` of them.
     """
-    entries = units.select("node", "u").orderBy(F.xxhash64("node"), "node").limit(ENTRIES)
-    dot = F.aggregate(F.zip_with("qu", "u", lambda x, y: (x * y).cast("double")), F.lit(0.0), lambda s, x: s + x)
-    # a fixed number of entries (not of rows) for each query: the product has ENTRIES rows a query
-    first = queries.join(F.broadcast(entries)).select("q", "node", dot.alias("s"), F.lit(False).alias("done"))
-    pool = first
+    # a fixed number of entry nodes, whatever the size of the table
+    found = units.select("node", "u").orderBy(F.xxhash64("node"), "node").limit(ENTRIES).collect()
+    ids, entries = np.array([r["node"] for r in found], np.int64), np.array([r["u"] for r in found], np.float32)
+
+    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = [_merged(np.array(u, np.float32), _NOTHING, ids, entries, hold) for u in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(x, HELD)], names=["q", "qu", "x"])
+
+    def step(key: tuple, own: pa.Table, met: pa.Table) -> pa.Table:
+        """What a query holds, with the nodes met that it didn't hold."""
+        x = own.column("x").combine_chunks().flatten()
+        d, node, done = (x.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+        done[np.flatnonzero(~done)[:expand]] = True
+        held = d, node, done
+        u = np.array(own.column("qu")[0].as_py(), np.float32)
+        new = met.column("node").to_numpy()
+        new, first = np.unique(new, return_index=True)
+        fresh = first[~np.isin(new, node)]
+        vectors = _matrix(met.column("u").combine_chunks().take(pa.array(fresh))) if len(fresh) else np.zeros((0, len(u)), np.float32)
+        out = _merged(u, held, met.column("node").to_numpy()[fresh], vectors, hold)
+        return pa.table([own.column("q"), own.column("qu"), pa.array([out], HELD)], names=["q", "qu", "x"])
+
+    shape = "q long, qu array<float>, x array<struct<d:double,node:long,done:boolean>>"
+    small_batches(queries.sparkSession, 500)
+    held = cut(queries.select("q", "qu").mapInArrow(enter, shape), "pool")
+    targets = graph.select("a", F.transform("near", lambda x: x["b"]).alias("near"))
     while True:
-        kept = pool.groupBy("q", "node").agg(F.max("s").alias("s"), F.max("done").alias("done"))
-        row = F.struct((-F.col("s")).alias("d"), "node", "done")
-        kept = kept.groupBy("q").agg(F.slice(F.array_sort(F.collect_list(row)), 1, hold).alias("x"))
-        kept = cut(kept, "pool")
         fresh = F.slice(F.filter("x", lambda r: ~r["done"]), 1, expand)
-        ahead = kept.select("q", F.explode(fresh).alias("r")).select("q", F.col("r.node").alias("a"))
+        ahead = held.select("q", F.explode(fresh).alias("r")).select("q", F.col("r.node").alias("a"))
         if ahead.isEmpty():
-            return kept.select("q", F.explode("x").alias("r")).select("q", "r.node")
-        last = F.get(F.transform(fresh, lambda r: F.struct(r["d"], r["node"])), F.size(fresh) - 1)
-        old = kept.select("q", F.explode("x").alias("r"), last.alias("last"))
-        old = old.select("q", "r.node", (-F.col("r.d")).alias("s"), (F.col("r.done") | (F.struct("r.d", "r.node") <= F.col("last"))).alias("done"))
-        seen = kept.select("q", F.transform("x", lambda r: r["node"]).alias("seen"))
-        next_ = ahead.join(graph, "a").select("q", F.explode("near.b").alias("node")).distinct()
-        next_ = next_.join(seen, "q").where(~F.array_contains("seen", F.col("node"))).select("q", "node")
-        scored = next_.join(units.select("node", "u"), "node").join(queries, "q").select("q", "node", dot.alias("s"), F.lit(False).alias("done"))
-        pool = old.union(scored)
+            return held.select("q", F.explode("x").alias("r")).select("q", "r.node")
+        met = ahead.join(targets, "a").select("q", F.explode("near").alias("node")).join(units.select("node", "u"), "node")
+        active = held.where(F.exists("x", lambda r: ~r["done"]))
+        moved = active.groupBy("q").cogroup(met.select(F.col("q").alias("p"), "node", "u").groupBy("p")).applyInArrow(step, shape)
+        held = cut(held.where(~F.exists("x", lambda r: ~r["done"])).unionByName(moved), "pool")
+
+
+HELD = pa.list_(pa.struct([("d", pa.float64()), ("node", pa.int64()), ("done", pa.bool_())]))
+_NOTHING = np.zeros(0), np.zeros(0, np.int64), np.zeros(0, bool)
+
+
+def _merged(u: np.ndarray, held: tuple, ids: np.ndarray, vectors: np.ndarray, most: int) -> list[dict]:
+    """The ``most`` nearest of what was held and of new nodes, nearest first; d is the negative cosine."""
+    d = np.concatenate([held[0], -(vectors @ u).astype(np.float64)]) if len(ids) else held[0]
+    node, done = np.concatenate([held[1], ids]), np.concatenate([held[2], np.zeros(len(ids), bool)])
+    order = np.lexsort((node, d))[:most]
+    return [{"d": float(d[i]), "node": int(node[i]), "done": bool(done[i])} for i in order]
 
 
 def search(vectors: DataFrame, is_query: Column, top: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
