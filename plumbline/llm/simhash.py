@@ -204,12 +204,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of their component; columns as they are.
 
-    Rows that repeat both doc_id and text stay once, and so does the text of a component whose ids are all null.
+    ``found`` has (doc_id, component_id) of every row, by default those of ``near_duplicates``. Rows that repeat both doc_id and text stay once, and so does the text of a component whose ids are all null.
     """
-    found = near_duplicates(docs)
+    found = near_duplicates(docs) if found is None else found
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__doc")).distinct()
     met = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__doc")), "left_semi")
     return met.dropDuplicates(["doc_id", "text"])

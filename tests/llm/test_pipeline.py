@@ -34,3 +34,33 @@ def test_stages(spark, tmp_path):
     assert kept.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).count() == 0
     assert seen[3] == seen[2]
     assert P.run(spark, str(tmp_path)).count() == docs.count()
+
+
+def test_near_copies_go(spark):
+    rng = random.Random(12)
+    words = lambda n: ["".join(rng.choice("abcdeghilmnorstu") for _ in range(6)) for _ in range(n)]
+    grams = lambda t: {tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))}
+    texts = []
+    for n, changed in [(100, 1)] * 15 + [(300, 3)] * 15 + [(300, 6)] * 15 + [(1000, 10)] * 10 + [(60, 20)] * 10:
+        a = words(n)
+        b = list(a)
+        for i in rng.sample(range(n), changed):
+            b[i] = "changed"
+        texts += [" ".join(a), " ".join(b)]
+    base = words(200)  # a group of copies, some alike and some not
+    for _ in range(60):
+        b = list(base)
+        for i in rng.sample(range(200), rng.randint(1, 9)):
+            b[i] = "".join(rng.choice("xyz") for _ in range(6))
+        texts.append(" ".join(b))
+    sets = [grams(t) for t in texts]
+    up = list(range(len(texts)))
+    for j in range(len(texts)):
+        for i in range(j):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((up[i], up[j]))
+                up = [a if x == b else x for x in up]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
+    kept = sorted(r["doc_id"] for r in P.near_duplicates(spark, docs, "").collect())
+    assert kept == sorted(set(up)) and len(kept) <= len(texts) - 55
+    assert P.near_duplicates(spark, docs.limit(0), "").count() == 0
