@@ -73,16 +73,14 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
-    """(a, near): the k nearest b of each a, as an array of (d, b), nearest first; from rows (a, b, d).
+    """(a, near): the k nearest b of each a, as an array of (d, r, b), nearest first; from rows (a, b, d).
 
-    d is the cosine in ten-thousandths, negative so that the nearest sorts first; equal pairs fold into one.
+    d is the cosine in single precision, negative so that the nearest sorts first; r is a hash of the pair, so that
+    nodes at one distance are not the same ones in every list. A pair met more than once counts once.
     """
-    pairs = F.array_sort(F.collect_set(F.struct("d", "b")))
-    return found.groupBy("a").agg(F.slice(pairs, 1, k).alias("near"))
-
-
-def _graded(s: np.ndarray) -> np.ndarray:
-    return np.rint(s * -10000).astype(np.int32)
+    once = found.repartition("a").groupBy("a", "b").agg(F.min("d").alias("d"))
+    pairs = F.array_sort(F.collect_list(F.struct("d", F.xxhash64("a", "b").alias("r"), "b")))
+    return once.groupBy("a").agg(F.slice(pairs, 1, k).alias("near"))
 
 
 def _start(units: DataFrame, dim: int, orders: int, beside: int, parts: int) -> DataFrame:
@@ -103,7 +101,7 @@ def _start(units: DataFrame, dim: int, orders: int, beside: int, parts: int) ->
                 s.append((u[i] * u[i + d]).sum(axis=1))
             a, c, s = np.concatenate(a), np.concatenate(c), np.concatenate(s).astype(np.float32)
             held_ids, held = ids[-beside:], u[-beside:]
-            d = _graded(s)
+            d = -s
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, c])), pa.array(np.concatenate([c, a])), pa.array(np.concatenate([d, d]))], names=["a", "b", "d"])
 
     directions = np.random.default_rng(7).standard_normal((orders, dim)).astype(np.float32)
@@ -120,11 +118,11 @@ def _start(units: DataFrame, dim: int, orders: int, beside: int, parts: int) ->
     # all orders at once: a range partition holds a stretch of one order, and neighbours are paired inside it
     every = units.mapInArrow(project, "node long, turn int, at float, u array<float>")
     placed = every.repartitionByRange(max(parts, orders), "turn", "at", "node").sortWithinPartitions("turn", "at", "node")
-    return placed.select("node", "u").mapInArrow(run, "a long, b long, d int")
+    return placed.select("node", "u").mapInArrow(run, "a long, b long, d float")
 
 
 def build(units: DataFrame, dim: int, k: int = K, rounds: int = ROUNDS) -> DataFrame:
-    """(a, near): the graph over ``units`` (node, u): each node's k nearest as found, an array of (d, b), d falling with the cosine."""
+    """(a, near): the graph over ``units`` (node, u): each node's k nearest as found, an array of (d, r, b), d falling with the cosine."""
     parts = shuffle_parts(units.sparkSession)
     graph = cut(_top(_start(units, dim, ORDERS, BESIDE, parts), k), "graph")
 
@@ -134,7 +132,7 @@ def build(units: DataFrame, dim: int, k: int = K, rounds: int = ROUNDS) -> DataF
             sizes = np.diff(lists.offsets.to_numpy())
             rows = lists.flatten()
             ids = rows.field(0).to_numpy()
-            u = np.frombuffer(b"".join(rows.field(1).to_pylist()), np.float16).reshape(len(ids), -1).astype(np.float32)
+            u = np.frombuffer(b"".join(rows.field(1).to_pylist()), np.float32).reshape(len(ids), -1)
             a, c, s, at = [], [], [], 0
             for n in sizes:
                 own, x = ids[at : at + n], u[at : at + n]
@@ -149,22 +147,22 @@ def build(units: DataFrame, dim: int, k: int = K, rounds: int = ROUNDS) -> DataF
                 c.append(own[best].reshape(-1))
                 s.append(np.take_along_axis(sims, best, axis=1).reshape(-1))
             cols = [np.concatenate(x) if x else np.zeros(0, t) for x, t in ((a, np.int64), (c, np.int64), (s, np.float32))]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(_graded(cols[2]))], names=["a", "b", "d"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(-cols[2])], names=["a", "b", "d"])
 
-    def halve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in _matrix(b.column(1)).astype(np.float16)], pa.binary())], names=["b", "u"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in _matrix(b.column(1))], pa.binary())], names=["b", "u"])
 
-    half = cut(units.mapInArrow(halve, "b long, u binary"), "half")
+    vectors = cut(units.mapInArrow(packed, "b long, u binary"), "vectors")
     for step in range(rounds):
         edges = graph.select("a", F.explode("near").alias("x")).select("a", "x.b", "x.d")
         turn = F.xxhash64(F.lit(step), "a", "b")
         back = edges.groupBy(F.col("b").alias("a")).agg(F.slice(F.array_sort(F.collect_list(F.struct(turn.alias("r"), F.col("a").alias("b")))), 1, BACKWARD).alias("x"))
         both = graph.select("a", F.transform("near", lambda x: x["b"]).alias("n")).join(back.select("a", F.transform("x", lambda x: x["b"]).alias("m")), "a", "left")
         around = both.select("a", F.explode(F.array_distinct(F.concat("n", F.coalesce("m", F.array().cast("array<long>"))))).alias("b"))
-        met = around.join(half, "b").groupBy("a").agg(F.collect_list(F.struct("b", "u")).alias("x"))
+        met = around.join(vectors, "b").groupBy("a").agg(F.collect_list(F.struct("b", "u")).alias("x"))
         small_batches(units.sparkSession, 500)
-        found = met.select("x").mapInArrow(compare, "a long, b long, d int")
+        found = met.select("x").mapInArrow(compare, "a long, b long, d float")
         graph = cut(_top(edges.select("a", "b", "d").union(found.where("a != b")), k), "graph")
     return graph
 

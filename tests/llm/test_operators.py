@@ -347,3 +347,18 @@ def test_neighbours_recall_and_order(spark):
     few = neighbours.search(df.where("vec_id < 3"), F.col("vec_id") % 50 == 0).collect()
     assert len(few) == 2
     assert neighbours.search(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_neighbours_in_a_tight_group(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((4000, 64))
+    x[:2000] = x[0] + 0.004 * rng.standard_normal((2000, 64))  # cosines above 0.9999 that all differ
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = neighbours.search(df, (F.col("vec_id") < 2000) & (F.col("vec_id") % 50 == 0)).collect()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 2000, 50):
+        s = u @ u[q]
+        s[q] = -2
+        hits += len({*np.argsort(-s)[:5].tolist()} & {r["vec_id"] for r in got if r["query_id"] == q})
+    assert hits >= 0.9 * 200, hits / 200
