@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.plans.storage import cut, fresh_path, shared_dir
 
-__all__ = ["BATCH_ROWS", "cut", "fresh_path", "shared_dir", "shuffle_parts", "small_batches", "table"]
+__all__ = ["BATCH_ROWS", "cut", "fresh_path", "own_names", "shared_dir", "shuffle_parts", "small_batches", "table"]
 
 #: Rows of one Arrow batch handed to Python: with texts of a few KB a batch stays in the low MB.
 BATCH_ROWS = 2000
@@ -24,3 +24,14 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def own_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of an operator's own, like ``names``, that no column of ``df`` has in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

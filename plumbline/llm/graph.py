@@ -1,4 +1,4 @@
-"""Connected components by random contraction, in joins and grouped minima only."""
+"""Connected components by contraction, in joins and grouped minima only."""
 
 from __future__ import annotations
 
@@ -11,9 +11,10 @@ from plumbline.llm.common import cut
 def components(edges: DataFrame) -> DataFrame:
     """``edges`` has long columns ``u`` and ``v``; returns one row (``node``, ``root``) for each node of an edge.
 
-    Every round gives each node a random rank and moves it onto the lowest ranked node beside it (itself
-    included). Edges follow, loops and repeats go. A round halves a chain in expectation whatever its ids, so
-    the rounds grow with the logarithm of the longest path. Nodes without an edge are absent. Loops, repeated
+    Every round gives each node a rank and moves it onto the lowest ranked node beside it (itself included), and on
+    to where that one moves. Edges follow, loops and repeats go. Ranks are the ids in the first round, which folds stars
+    around a smallest id at once, and random ones in the others: those halve a chain in expectation whatever its
+    ids, so the rounds grow with the logarithm of the longest path. Nodes without an edge are absent. Loops, repeated
     and reversed edges and nulls are allowed and add nothing.
     """
     u, v = F.col("u"), F.col("v")
@@ -22,20 +23,27 @@ def components(edges: DataFrame) -> DataFrame:
     labels = cut(pairs.select(u.alias("node")).union(pairs.select(v)).distinct().withColumn("root", F.col("node")), "labels")
     step = 0
     while not pairs.isEmpty():
-        step += 1
-        rank = lambda c: F.xxhash64(F.lit(step), c)
+        rank = lambda c: F.xxhash64(F.lit(step), c) if step else c  # noqa: E731, B023
         both = pairs.union(pairs.select("v", "u"))
         near = both.groupBy("u").agg(F.min(F.struct(rank(v).alias("r"), v.alias("v"))).alias("m"))
         own = F.struct(rank(u).alias("r"), u.alias("v"))
-        moved = cut(near.select("u", F.least("m", own)["v"].alias("to")), "moved")
-        labels = cut(
-            labels.join(moved.withColumnRenamed("u", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root")),
-            "labels",
-        )
+        once = cut(near.select("u", F.least("m", own)["v"].alias("to")), "moved")
+        moved = once.join(once.select(u.alias("to"), F.col("to").alias("then")), "to").select("u", F.col("then").alias("to"))
+        moved = cut(moved, "moved")
+        labels = labels.join(moved.withColumnRenamed("u", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+        labels = cut(labels, "labels")
         a, b = moved.select(u, F.col("to").alias("a")), moved.select(u.alias("v"), F.col("to").alias("b"))
         pairs = (
             pairs.join(a, "u").join(b, "v").where("a != b")
             .select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
         )
         pairs = cut(pairs, "edges")
+        step += 1
     return labels
+
+
+def further(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """``components`` of more edges: ``roots`` is its earlier result, ``edges`` joins roots (or nodes absent there)."""
+    found = components(edges)
+    moved = roots.join(found.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return cut(moved.unionByName(found.join(roots.select("node"), "node", "left_anti")), "labels")

@@ -230,6 +230,42 @@ def test_line_templates_drop_recurring_lines(spark):
     assert line_templates.drop_lines(docs.limit(0)).count() == 0 and line_templates.drop_lines(docs).columns[:3] == docs.columns
 
 
+def test_a_leaf_holds_several_templates(spark):
+    texts = [
+        (1, "user login was made by alpha from home today\nrow of 3 4 5 6 7 8\nshared words with 7 and 8 fields"),
+        (2, "user login was seen near gate one by bob\nrow of 3 4 5 6 7 9\nshared words with 9 and 10 fields"),
+        (3, "user login was seen near gate two by bob\n1 2 3 4 5"), (4, "user login was made by beta from home today\n1 2 3 4 6\nalpha"), (5, "1 2 3 4 5"),
+    ]
+    clash = {c: F.lit("x") for c in ("__doc", "__lines", "doc", "TH", "gone", "lines", "size", "h1", "first")}
+    docs = spark.createDataFrame(texts, "doc_id long, text string").withColumns(clash)
+    got = {r["doc_id"]: r["text"] for r in line_templates.drop_lines(docs).collect()}
+    assert got == {1: texts[0][1], 2: "user login was seen near gate one by bob\nrow of 3 4 5 6 7 9", 3: "1 2 3 4 5", 4: "1 2 3 4 6\nalpha", 5: ""}
+
+
+def test_alike_lines_against_all_pairs(spark):
+    rng = random.Random(21)
+    lines = []
+    for n in (5, 6, 9, 10, 14, 15, 19, 20, 33, 70, 2000):
+        for _ in range(4):
+            base = [rng.choice("abc") for _ in range(3)] + [word(rng) for _ in range(n - 3)]
+            for _ in range(12):
+                own = list(base)
+                for i in rng.sample(range(3, n), min(n - 3, rng.randint(0, n // 5 + 2))):
+                    own[i] = rng.choice(["x", "y", "z"]) + own[i]
+                lines.append(" ".join(own))
+    rng.shuffle(lines)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "doc_id long, text string")
+    got = sorted(r["doc_id"] for r in line_templates.drop_lines(docs).where("n_dropped = 0").collect())
+    ts = [t.split() for t in lines]
+    up = list(range(len(ts)))
+    for j in range(len(ts)):
+        for i in range(j):
+            if len(ts[i]) == len(ts[j]) and ts[i][:3] == ts[j][:3] and 5 * sum(a == b for a, b in zip(ts[i], ts[j], strict=True)) >= 4 * len(ts[i]):
+                a, b = sorted((up[i], up[j]))
+                up = [a if x == b else x for x in up]
+    assert got == sorted(set(up))
+
+
 @pytest.fixture(scope="module")
 def languages(spark):
     rng = random.Random(4)
