@@ -6,8 +6,9 @@ Bins stand in order of the room they have left and carry a bitmap of their sourc
 the search starts at the tightest bin that is large enough and goes on from successor to successor until one is
 compatible, else a bin is opened.
 
-Documents are dealt to shards by a hash of their key, about ``SHARD`` pieces each, and a shard is packed by one
-task, so no bin, source or cluster is ever gathered as a whole. Fewer pieces a shard would leave more rests.
+Pieces are dealt to shards by a hash of their document's key, piece and number among equal rows, about ``SHARD``
+each, and a shard is packed by one task, so no bin, source, cluster or set of repeated rows is ever gathered as a whole.
+Fewer pieces a shard would leave more rests.
 """
 
 from __future__ import annotations
@@ -15,16 +16,21 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import cut as cut_off
 from plumbline.llm.common import table
 
 CAPACITY = 2048
 #: Pieces that a shard holds in the mean; a task's memory and time follow from it.
 SHARD = 4096
+#: Repeats of a row that one task deals out.
+REPEATS = 65536
 
+KEPT = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64()}
 PACKED = "doc_id long, piece int, start long, length long, bin_id string, place int"
 
 
@@ -74,7 +80,7 @@ def pack(docs: DataFrame, length: Column, cluster: Column, capacity: int = CAPAC
     ``length`` counts a document's tokens and ``cluster`` names its duplicates. A null or zero length takes one
     place, so that no row is lost. A null source or cluster conflicts with nothing. Pieces of equal length go by
     doc_id (null first), piece, source and cluster; rows that agree in all of them get the places in turn. An
-    empty table gives no rows; other columns play no part.
+    empty table gives no rows; other columns, whatever their names, play no part. A very long text is many pieces.
     """
     if capacity < 1:
         raise ValueError("a sequence has room for one token at least")
@@ -82,26 +88,29 @@ def pack(docs: DataFrame, length: Column, cluster: Column, capacity: int = CAPAC
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
         cluster.cast("string").alias("cluster"), F.greatest(F.coalesce(length, F.lit(0)), F.lit(1)).cast("long").alias("tokens"),
     )
-    total = rows.agg(F.sum(F.ceil(F.col("tokens") / capacity))).first()[0] or 0
+    # repeated rows are counted before they are dealt out, a stretch of numbers at a time
+    rows = cut_off(rows.groupBy("doc_id", "source", "cluster", "tokens").agg(F.count("*").alias("n")), "counted")
+    total = rows.agg(F.sum(F.col("n") * F.ceil(F.col("tokens") / capacity))).first()[0] or 0
     shards = max(1, -(-int(total) // shard))
+    many = rows.where(F.col("n") > REPEATS).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(REPEATS))).alias("low"))
+    spread = rows.where(F.col("n") <= REPEATS).withColumn("low", F.lit(0).cast("long")).unionByName(many.repartition("doc_id", "cluster", "low"))
+    number = F.explode(F.sequence("low", F.least(F.col("low") + REPEATS, "n") - 1))
     piece = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("tokens") / capacity) - 1))
-    cut = rows.select("*", piece.alias("piece"))
+    cut = spread.select("*", number.alias("number")).select("*", piece.alias("piece"))
     cut = cut.select(
-        F.pmod(F.xxhash64("doc_id", "cluster", "piece"), F.lit(shards)).alias("shard"), "doc_id", F.col("piece").cast("int").alias("piece"),
+        F.pmod(F.xxhash64("doc_id", "cluster", "piece", "number"), F.lit(shards)).alias("shard"), "doc_id", F.col("piece").cast("int").alias("piece"),
         (F.col("piece") * capacity).alias("start"), F.least(F.lit(capacity), F.col("tokens") - F.col("piece") * capacity).cast("long").alias("length"), "source", "cluster",
     )
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        order = ["length", "doc_id", "piece", "source", "cluster"]
-        rows = rows.sort_values(order, ascending=[False, True, True, True, True], na_position="first", kind="stable")
-        none = lambda x: None if pd.isna(x) else x
-        placed = list(pack_shard(zip(rows["length"].tolist(), map(none, rows["source"]), map(none, rows["cluster"]), strict=True), capacity))
-        out = rows[["doc_id", "piece", "start", "length"]].copy()
-        out["bin_id"] = [f"{int(key[0])}-{b}" for b, _ in placed]
-        out["place"] = [p for _, p in placed]
-        return out
-
-    return cut.groupBy("shard").applyInPandas(run, PACKED)
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        order = [("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("source", "ascending"), ("cluster", "ascending")]
+        rows = rows.take(pc.sort_indices(rows, order, null_placement="at_start"))
+        placed = list(pack_shard(zip(*(rows[c].to_pylist() for c in ("length", "source", "cluster")), strict=True), capacity))
+        name = key[0].as_py()
+        made = [pa.array([f"{name}-{b}" for b, _ in placed], pa.string()), pa.array([p for _, p in placed], pa.int32())]
+        return pa.table([*(rows[c].cast(k) for c, k in KEPT.items()), *made], names=[*KEPT, "bin_id", "place"])
+
+    return cut.groupBy("shard").applyInArrow(run, PACKED)
 
 
 def words(text: str = "text") -> Column:

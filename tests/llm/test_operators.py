@@ -332,6 +332,45 @@ def test_packing_respects_conflicts(spark, docs, rows):
     assert packing.pack(empty(docs), packing.words(), packing.same_text()).count() == 0
 
 
+def test_packing_keeps_ids_and_deals_out_repeats(spark):
+    big = 1 << 53
+    rows = [(big + 1, "a b c", "s"), (big + 3, "d e", None), (None, "f", "s"), (None, None, None), (-(1 << 63), "g h i", "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit(1) for c in ("n", "low", "number", "piece", "tokens", "cluster")})
+    got = sorted((str(r["doc_id"]), r["length"]) for r in packing.pack(docs, packing.words(), packing.same_text()).collect())
+    assert got == sorted([(str(big + 1), 3), (str(big + 3), 2), ("None", 1), ("None", 1), (str(-(1 << 63)), 3)])
+    equal = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("same").alias("text"), F.lit("s").alias("source"))
+    out = packing.pack(equal, packing.words(), packing.same_text(), shard=1000)
+    sizes = [r["count"] for r in out.groupBy(F.split("bin_id", "-")[0].alias("shard")).count().collect()]
+    assert sum(sizes) == 100_000 and len(sizes) == 100 and max(sizes) < 1300
+    assert out.groupBy("bin_id").count().where("count > 1").count() == 0
+
+
+def test_packing_over_shards_against_a_plain_version(spark, docs, rows):
+    got = packing.pack(docs, packing.words(), packing.same_text(), capacity=64, shard=20).collect()
+    clusters = {r["doc_id"]: r["c"] for r in docs.select("doc_id", packing.same_text().alias("c")).collect() if r["doc_id"] is not None}
+    sources = {i: s for i, _, _, s, _ in rows}
+    null_first = lambda x: (x is not None, x or 0)
+    shards = {}
+    for r in got:
+        shards.setdefault(r["bin_id"].split("-")[0], []).append(r)
+    for own in shards.values():
+        if any(r["doc_id"] is None for r in own):
+            continue  # two texts without an id can't be told apart here
+        own = sorted(own, key=lambda r: (-r["length"], null_first(r["doc_id"]), r["piece"], r["bin_id"], r["place"]))
+        room, held, want = [], [], []
+        for r in own:
+            s, c = sources[r["doc_id"]], clusters[r["doc_id"]]
+            fit = [(room[b], b) for b in range(len(room)) if room[b] >= r["length"] and ("s", s) not in held[b] and ("c", c) not in held[b]]
+            if not fit:
+                room.append(64)
+                held.append(set())
+            b = min(fit)[1] if fit else len(room) - 1
+            room[b] -= r["length"]
+            held[b] |= {x for x in (("s", s), ("c", c)) if x[1] is not None}
+            want.append((r["doc_id"], b))
+        assert sorted(want) == sorted((r["doc_id"], int(r["bin_id"].split("-")[1])) for r in own)
+
+
 def test_best_fit_against_a_plain_version():
     rng = random.Random(8)
     pieces = sorted(((rng.randint(1, 40), rng.choice("abcdefgh"), rng.choice([None, 1, 2, 3, 4, 5])) for _ in range(400)), key=lambda p: -p[0])
