@@ -109,7 +109,7 @@ def _joined(tokens: DataFrame) -> DataFrame:
     left, many = left.select("k", "id"), 1
     while True:
         named = left.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        split = named.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("k")
+        split = cut(named.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("k"), "split")
         left = cut(named.join(split, "k"), "left")
         if left.isEmpty():
             return roots
