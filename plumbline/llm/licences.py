@@ -1,11 +1,14 @@
 """License scans (4): a trained classifier of paragraphs, confirmed against templates.
 
-A paragraph is a line with text. Candidates hold one of ``ANCHORS``; every template does too. Their word
-1- and 2-grams that occur in templates at all are the features of a logistic regression over licence families
-and an unknown class, fitted with an L1 penalty, so most weights are zero. It learns from the templates, cut and
-blurred, and for the unknown class from phrases that only sound alike and a bounded sample of the corpus. A
-temperature and a threshold, set on examples that were not learned from, decide when a prediction stands; then
-the family's own templates must share enough of the paragraph's word pairs to confirm it.
+A paragraph is a run of lines without a blank one between, comment signs apart; a line that ends a sentence ends it too,
+unless the next starts with a small letter. So wrapped lines are joined. A paragraph is read in windows of ``WINDOW`` words,
+every half window, and each window is judged. Word 1- and 2-grams of the templates are the features of a logistic
+regression over licence families and an unknown class, fitted with an L1 penalty, so most weights are zero. It learns from
+the templates, cut and blurred, and for the unknown class from phrases that only sound alike and from windows of the
+corpus that share word pairs with templates without being any. A temperature and a threshold are set on templates that
+the scoring model did not see (each template is held out once); then a template of the predicted family must share
+enough word pairs with the window to confirm it. A window that shares fewer than two word pairs with all templates can't be
+confirmed and counts as unknown without being scored; no other gate decides what the classifier sees.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ TEMPLATES = {
     "MIT": [
         "Released under the MIT License.",
         "This project is licensed under the terms of the MIT license.",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "The Software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.",
         "SPDX-License-Identifier: MIT",
     ],
@@ -86,7 +91,17 @@ TEMPLATES = {
     "CC0": [
         "Dedicated to the public domain under CC0 1.0 Universal.",
         "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+        "SPDX-License-Identifier: CC0-1.0",
+    ],
+    "Unlicense": [
         "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+        "SPDX-License-Identifier: Unlicense",
+    ],
+    "Zlib": [
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+        "SPDX-License-Identifier: Zlib",
     ],
 }
 #: Phrases that are no licence.
@@ -99,13 +114,16 @@ NO_LICENCE = [
     "All staff hold a license to operate the crane, version two of the form.", "The pilot showed a valid license at the gate.",
     "Copyright is a topic of the next chapter.", "GNU is a recursive name, and Mozilla was a mascot.",
 ]
-#: A candidate holds one of these, in lower case.
-ANCHORS = ["licen", "copyright", "warrant", "permission", "redistribut", "public domain", "creative commons", "cc by", "cc0", "gnu ", "mozilla"]
-
 UNKNOWN = "unknown"
 WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
-#: Documents of the sample for the unknown class, blurred examples for a family, share of word pairs to confirm.
-SAMPLE_DOCS, EXAMPLES, CONFIRM = 400, 80, 0.5
+#: Comment signs and blanks before a line's text.
+LEAD = re.compile(r"^[\s#*/;%!>|-]*")
+#: Words of a window.
+WINDOW = 64
+#: Bounds of the training sample: documents looked at (about), windows of them taken as examples of the unknown class.
+SAMPLE_DOCS, NEGATIVES = 2000, 1000
+#: Blurred examples for a family; the share of word pairs that confirms, of templates of up to ``SHORT`` pairs and of longer ones.
+EXAMPLES, SHORT, CONFIRM_SHORT, CONFIRM = 80, 8, 0.8, 0.5
 
 
 def words(text: str) -> list[str]:
@@ -116,13 +134,34 @@ def grams(ws: list[str]) -> list[str]:
     return ws + [f"{a} {b}" for a, b in zip(ws, ws[1:], strict=False)]
 
 
-def is_candidate(text: str) -> bool:
-    low = text.lower()
-    return any(a in low for a in ANCHORS)
+def pairs(ws: list[str]) -> set[tuple[str, str]]:
+    return set(zip(ws, ws[1:], strict=False))
+
+
+#: The word pairs of each template, by family, and of all templates.
+OWN = {family: [pairs(words(t)) for t in own] for family, own in TEMPLATES.items()}
+PAIRS = frozenset().union(*(p for own in OWN.values() for p in own))
 
 
 def paragraphs(text: str) -> list[str]:
-    return [p for p in (x.strip() for x in text.splitlines()) if p]
+    """The paragraphs of a text, wrapped lines joined by blanks."""
+    out: list[str] = []
+    open_ = False
+    for line in text.split("\n"):
+        own = line[LEAD.match(line).end() :].rstrip()
+        if not own:
+            open_ = False
+        elif open_ and (out[-1][-1] not in ".!?:" or own[0].islower()):
+            out[-1] += " " + own
+        else:
+            out.append(own)
+            open_ = True
+    return out
+
+
+def windows(ws: list[str], size: int = WINDOW) -> list[list[str]]:
+    """The words in windows of ``size``, each starting half a window behind the one before; the last may be shorter."""
+    return [ws[i : i + size] for i in range(0, max(1, len(ws) - size // 2), size // 2)]
 
 
 @dataclass
@@ -136,19 +175,19 @@ class Model:
     temperature: float
     threshold: float
 
-    def probabilities(self, texts: list[str]) -> np.ndarray:
+    def probabilities(self, texts: list[list[str]]) -> np.ndarray:
         return _softmax(self._logits(texts) / self.temperature)
 
-    def _logits(self, texts: list[str]) -> np.ndarray:
+    def _logits(self, texts: list[list[str]]) -> np.ndarray:
         out = np.tile(self.bias, (len(texts), 1))
-        for i, t in enumerate(texts):
-            at = {self.index[g] for g in grams(words(t)) if g in self.index}
+        for i, ws in enumerate(texts):
+            at = {self.index[g] for g in grams(ws) if g in self.index}
             if at:
                 out[i] += self.weights[sorted(at)].sum(axis=0)
         return out
 
-    def predict(self, texts: list[str]) -> list[tuple[str, float]]:
-        """(family or unknown, calibrated probability) of each paragraph."""
+    def predict(self, texts: list[list[str]]) -> list[tuple[str, float]]:
+        """(family or unknown, calibrated probability) of each window, given as words."""
         p = self.probabilities(texts) if texts else np.zeros((0, len(self.classes)))
         best = p.argmax(axis=1)
         return [(self.classes[b] if p[i, b] >= self.threshold else UNKNOWN, float(p[i, b])) for i, b in enumerate(best)]
@@ -159,25 +198,30 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def confirmed(family: str, text: str, least: float = CONFIRM) -> bool:
-    """Whether a template of the family and the paragraph share ``least`` of the word pairs of the shorter one."""
-    ws = words(text)
-    own = set(zip(ws, ws[1:], strict=False))
-    for t in TEMPLATES[family]:
-        tw = words(t)
-        other = set(zip(tw, tw[1:], strict=False))
-        if own and len(own & other) >= least * min(len(own), len(other)) and len(own & other) >= min(2, len(other)):
+def confirmed(family: str, ws: list[str]) -> bool:
+    """Whether a template of the family and the window share enough of the word pairs of the shorter one."""
+    own = pairs(ws)
+    for other in OWN[family]:
+        both = len(own & other)
+        if both >= 2 and both >= (CONFIRM_SHORT if len(other) <= SHORT else CONFIRM) * min(len(own), len(other)):
             return True
     return False
 
 
-def _examples(negatives: list[str], rng: np.random.Generator, n: int) -> tuple[list[str], list[str]]:
+def like_none(ws: list[str]) -> bool:
+    """Whether no template shares a quarter of its word pairs with the window."""
+    own = pairs(ws)
+    return all(len(own & other) < 0.25 * len(other) for family in OWN.values() for other in family)
+
+
+def _examples(templates: dict[str, list[str]], negatives: list[list[str]], rng: np.random.Generator, n: int) -> tuple[list[list[str]], list[str]]:
     texts, labels = [], []
     pick = lambda x: x[int(rng.integers(0, len(x)))]
-    filler = [w for t in negatives[:200] for w in t.split()] or ["text"]
-    for family, own in TEMPLATES.items():
-        for k in range(n):
-            ws = own[k % len(own)].split()
+    phrases = [words(t) for t in NO_LICENCE]
+    filler = [w for ws in negatives for w in ws] or ["text"]
+    for family, own in templates.items():
+        for k in range(n if own else 0):
+            ws = words(own[k % len(own)])
             if len(ws) > 10 and rng.random() < 0.5:  # a part of a long one
                 size = int(rng.integers(8, len(ws)))
                 at = int(rng.integers(0, len(ws) - size + 1))
@@ -185,37 +229,29 @@ def _examples(negatives: list[str], rng: np.random.Generator, n: int) -> tuple[l
             if len(ws) > 6:
                 ws = [w for w in ws if rng.random() > 0.08]
             if rng.random() < 0.4:
-                around = [pick(filler) for _ in range(int(rng.integers(1, 30)))]
+                around = [pick(filler) for _ in range(int(rng.integers(1, 40)))]
                 at = int(rng.integers(0, len(around) + 1))
                 ws = around[:at] + ws + around[at:]
-            texts.append(" ".join(ws))
+            texts.append(ws)
             labels.append(family)
     for k in range(n * 4):
-        source = NO_LICENCE if k % 2 or not negatives else negatives
-        ws = pick(source).split()[:60]
+        ws = list(pick(phrases if k % 2 or not negatives else negatives))
         if rng.random() < 0.5:  # words of licences that make none
-            ws += [pick(pick(NO_LICENCE).split()) for _ in range(5)]
-        texts.append(" ".join(ws))
+            ws += [pick(pick(phrases)) for _ in range(5)]
+        texts.append(ws)
         labels.append(UNKNOWN)
     return texts, labels
 
 
-def fit(negatives: list[str], seed: int = 11, rounds: int = 300, rate: float = 0.5, l1: float = 2e-4) -> Model:
-    """Fit and calibrate; ``negatives`` are paragraphs of the corpus that are no candidates."""
-    rng = np.random.default_rng(seed)
+def _trained(templates: dict[str, list[str]], negatives: list[list[str]], rng: np.random.Generator, rounds: int, rate: float, l1: float) -> Model:
     classes = [*TEMPLATES, UNKNOWN]
-    index = {g: i for i, g in enumerate(sorted({g for own in [*TEMPLATES.values(), NO_LICENCE] for t in own for g in grams(words(t))}))}
+    index = {g: i for i, g in enumerate(sorted({g for own in [*templates.values(), NO_LICENCE] for t in own for g in grams(words(t))}))}
     model = Model(classes, index, np.zeros((len(index), len(classes)), np.float32), np.zeros(len(classes), np.float32), 1.0, 0.5)
-
-    def matrix(texts: list[str]) -> np.ndarray:
-        x = np.zeros((len(texts), len(index)), np.float32)
-        for i, t in enumerate(texts):
-            x[i, [index[g] for g in grams(words(t)) if g in index]] = 1
-        return x
-
-    texts, labels = _examples(negatives, rng, EXAMPLES)
-    x, y = matrix(texts), np.array([classes.index(c) for c in labels])
-    target = np.eye(len(classes), dtype=np.float32)[y]
+    texts, labels = _examples(templates, negatives, rng, EXAMPLES)
+    x = np.zeros((len(texts), len(index)), np.float32)
+    for i, ws in enumerate(texts):
+        x[i, [index[g] for g in grams(ws) if g in index]] = 1
+    target = np.eye(len(classes), dtype=np.float32)[[classes.index(c) for c in labels]]
     back = np.ascontiguousarray(x.T)
     for _ in range(rounds):
         err = (_softmax(x @ model.weights + model.bias) - target) / len(x)
@@ -225,53 +261,92 @@ def fit(negatives: list[str], seed: int = 11, rounds: int = 300, rate: float = 0
     used = np.flatnonzero(np.abs(model.weights).sum(axis=1))
     names = list(index)
     model.index, model.weights = {names[i]: k for k, i in enumerate(used)}, model.weights[used]
-    texts, labels = _examples(negatives, rng, EXAMPLES // 4)
-    logits, y = model._logits(texts), np.array([classes.index(c) for c in labels])
-    loss = lambda t: -np.log(_softmax(logits / t)[np.arange(len(y)), y] + 1e-12).mean()
-    model.temperature = float(min(np.geomspace(0.1, 5, 60), key=loss))
-    p = _softmax(logits / model.temperature)
-    wrong = p.max(axis=1)[(p.argmax(axis=1) != y) & (p.argmax(axis=1) != len(classes) - 1)]
-    model.threshold = float(min(0.95, max(0.5, np.quantile(wrong, 0.9) if len(wrong) else 0.5)))
     return model
 
 
-def fit_on(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
-    """Fit with negatives from about ``sample_docs`` documents of ``docs``, by a hash of doc_id."""
+def fit(negatives: list[list[str]], seed: int = 11, rounds: int = 200, rate: float = 0.5, l1: float = 2e-4, folds: int = 3) -> Model:
+    """Fit and calibrate; ``negatives`` are windows of the corpus, as words, that are no licence.
+
+    Template k of a family and every third negative are in fold k mod ``folds``; a fold's examples are scored by a model that saw
+    neither, and the temperature and the threshold are set on all of these scores. The model returned saw all.
+    """
+    rng = np.random.default_rng(seed)
+    classes = [*TEMPLATES, UNKNOWN]
+    logits, y = [], []
+    for f in range(folds):
+        seen = {c: [t for k, t in enumerate(own) if k % folds != f] for c, own in TEMPLATES.items()}
+        held = {c: [t for k, t in enumerate(own) if k % folds == f] for c, own in TEMPLATES.items()}
+        model = _trained(seen, [x for k, x in enumerate(negatives) if k % folds != f], rng, rounds, rate, l1)
+        texts, labels = _examples(held, negatives[f::folds], rng, EXAMPLES // 4)
+        logits.append(model._logits(texts))
+        y += [classes.index(c) for c in labels]
+    scores, y = np.concatenate(logits), np.array(y)
+    loss = lambda t: -np.log(_softmax(scores / t)[np.arange(len(y)), y] + 1e-12).mean()
+    model = _trained(TEMPLATES, negatives, rng, rounds, rate, l1)
+    model.temperature = float(min(np.geomspace(0.1, 10, 80), key=loss))
+    p = _softmax(scores / model.temperature)
+    # the least threshold from which nine of ten predicted families are right
+    best, right = p.max(axis=1), p.argmax(axis=1) == y
+    family = p.argmax(axis=1) != len(classes) - 1
+    good = [t for t in np.arange(0.3, 0.96, 0.05) if not (sure := family & (best >= t)).any() or right[sure].mean() >= 0.9]
+    model.threshold = float(min(good, default=0.95))
+    return model
+
+
+def fit_on(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, negatives: int = NEGATIVES) -> Model:
+    """Fit with negatives from about ``sample_docs`` documents of ``docs``, by a hash of doc_id.
+
+    Executors cut them into windows; the driver gets ``negatives`` windows like no template at most, those that share word
+    pairs with templates first.
+    """
     n = docs.count()
     share = min(1.0, sample_docs / max(n, 1))
-    chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30)).select("doc_id", "text")
-    rows = sorted((r["doc_id"] or 0, r["text"]) for r in chosen.where(F.col("text").isNotNull()).collect())
-    return fit([p for _, t in rows for p in paragraphs(t)[:20] if not is_candidate(p)])
+    chosen = docs.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30))).select(F.col("text").cast("string"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                own = [w for p in paragraphs(text) for w in windows(words(p)) if w and like_none(w)]
+                yield pa.RecordBatch.from_arrays([pa.array([" ".join(w) for w in own], pa.string()), pa.array([bool(pairs(w) & PAIRS) for w in own], pa.bool_())], names=["words", "shares"])
+
+    small_batches(docs.sparkSession)
+    found = chosen.mapInArrow(run, "words string, shares boolean").distinct()
+    rows = found.orderBy(F.desc("shares"), F.xxhash64("words"), "words").limit(negatives).collect()
+    return fit([r["words"].split(" ") for r in rows])
 
 
 SCHEMA = "doc_id long, found array<struct<paragraph:int,family:string,score:double,confirmed:boolean>>"
 
 
+def judged(text: str, model: Model) -> list[tuple[int, str, float, bool]]:
+    """(paragraph, family, score, confirmed) of each family that a window of the paragraph is predicted to be of.
+
+    The windows of a family in a paragraph count once, a confirmed one before others, then by score.
+    """
+    own = [(i, w) for i, p in enumerate(paragraphs(text)) if not PAIRS.isdisjoint(zip(ws := words(p), ws[1:], strict=False)) for w in windows(ws) if len(PAIRS & pairs(w)) >= 2]
+    best: dict[tuple[int, str], tuple[bool, float]] = {}
+    for (i, w), (family, score) in zip(own, model.predict([w for _, w in own]), strict=True):
+        if family != UNKNOWN:
+            best[i, family] = max(best.get((i, family), (False, 0.0)), (confirmed(family, w), score))
+    return [(i, family, score, sure) for (i, family), (sure, score) in best.items()]
+
+
 def scan(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, found) of every row: its paragraphs that a family is predicted for, by number from 0.
+    """(doc_id, found) of every row: the families of its paragraphs, these by number from 0.
 
     Null and empty texts have none. Null ids and repeated rows keep their rows; an empty table gives none; other
-    columns play no part. Texts without an anchor are not sent to Python.
+    columns, whatever their names, play no part. A very long text is read whole, window by window.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("paragraph", pa.int32()), ("family", pa.string()), ("score", pa.float64()), ("confirmed", pa.bool_())]))
         for b in batches:
-            out = []
-            for text in b.column(1).to_pylist():
-                own = [(i, p) for i, p in enumerate(paragraphs(text)) if is_candidate(p)] if text else []
-                told = shared.value.predict([p for _, p in own])
-                out.append([{"paragraph": i, "family": f, "score": s, "confirmed": confirmed(f, p)} for (i, p), (f, s) in zip(own, told, strict=True) if f != UNKNOWN])
+            out = [[dict(zip(("paragraph", "family", "score", "confirmed"), x, strict=True)) for x in judged(text.as_py() or "", shared.value)] for text in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, kind)], names=["doc_id", "found"])
 
     small_batches(docs.sparkSession)
-    low = F.lower("text")
-    hit = low.contains(ANCHORS[0])
-    for a in ANCHORS[1:]:
-        hit = hit | low.contains(a)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.select("doc_id", F.when(hit, F.col("text")).alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
