@@ -5,8 +5,8 @@ bounded table. A run is cut into the tokenizer's pre-tokens. A pre-token of more
 as a tree: its leaves on their own, in parallel, then joined in pairs; around a join a window is encoded anew and
 grows until it begins and ends with tokens that both sides have at those places. BPE encodings fit together there:
 whether two tokens may stand side by side depends on those two alone, and each such pair has then been found
-by an encoder. What the fast path doesn't cover (special tokens, text that normalisation changes otherwise than by
-lower-casing) goes to the library whole.
+by an encoder. Special tokens are cut out first and the text between them is normalised, as the library does; every
+text takes this way.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import hashlib
 import json
 import os
 import re
+import struct
 import sys
 import unicodedata
 from array import array
@@ -31,12 +32,18 @@ from plumbline.llm.common import small_batches, table
 
 #: Symbols of a leaf of the tree, and of the first window on each side of a join.
 LEAF, REACH = 48, 24
-#: Runs kept in a worker's table before it starts again; a bound on memory, not on what is encoded.
-KEPT_RUNS = 500_000
+#: Runs kept in a worker's table before it starts again, and the letters of the longest one kept: bounds on memory, not on
+#: what is encoded.
+KEPT_RUNS, KEPT_LETTERS = 300_000, 48
 #: Leaves from which threads encode them.
 THREADED = 256
 
 
+#: White space as the tokenizer's patterns have it; Python's own class also holds the four separators of ``ODD``.
+SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+ODD = frozenset("\x1c\x1d\x1e\x1f")
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -143,9 +150,10 @@ class Codec:
         inner = models.BPE(vocab=vocab, merges=[m for m in merges if not m[1].endswith(suffix)])
         final = self.library.model
         self.tree = TreeEncoder(lambda s: [t.id for t in inner.tokenize(s)], lambda s: [t.id for t in final.tokenize(s)], width, leaf)
-        special = "|".join(re.escape(a["content"]) for a in told["added_tokens"])
-        #: Texts with these go to the library whole: special tokens, separators that it and Python class apart, and sigma, whose lower case depends on its place.
-        self.odd = re.compile(f"[\x1c-\x1fΣ]|{special}" if special else "[\x1c-\x1fΣ]")
+        if any(a["normalized"] or a["lstrip"] or a["rstrip"] or a["single_word"] for a in told["added_tokens"]):
+            raise ValueError(f"{path}: added tokens that depend on what is around them")
+        self.special = {a["content"]: struct.pack("<I", a["id"]) for a in told["added_tokens"]}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.runs: dict[str, bytes] = {}
         self.decoded: dict[str, str] = {}
 
@@ -161,9 +169,10 @@ class Codec:
             ids = self._word_bytes(run)
         else:
             ids = array("I", [i for p in self.pattern.findall(run) for i in self.word(p)]).tobytes()
-        if len(self.runs) >= KEPT_RUNS:
-            self.runs.clear()
-        self.runs[run] = ids
+        if len(run) <= KEPT_LETTERS:
+            if len(self.runs) >= KEPT_RUNS:
+                self.runs.clear()
+            self.runs[run] = ids
         return ids
 
     def _word_bytes(self, letters: str) -> bytes:
@@ -172,10 +181,19 @@ class Codec:
 
     def encode(self, text: str) -> bytes:
         """The ids of a whole text, as little-endian unsigned 32-bit integers one after another."""
-        if self.odd.search(text) or not (text.isascii() or unicodedata.is_normalized("NFC", text)):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if self.cut is None or not self.cut.search(text):
+            return self._plain(text)
+        return b"".join([self.special.get(x) or self._plain(x) for x in self.cut.split(text)])
+
+    def _plain(self, text: str) -> bytes:
+        """The ids of text without special tokens: composed, lower-cased letter by letter, run by run."""
+        if not text.isascii():
+            if not unicodedata.is_normalized("NFC", text):
+                text = unicodedata.normalize("NFC", text)
+            text = text.replace("Σ", "σ")  # Python alone would look where in a word it stands
+        low = text.lower()
         get, own = self.runs.get, self._run
-        return b"".join([get(r) or own(r) for r in text.lower().split()])
+        return b"".join([get(r) or own(r) for r in (low.split() if ODD.isdisjoint(low) else SPACE.sub(" ", low).strip(" ").split(" ")) if r])
 
     def decode(self, ids: bytes) -> str:
         """What the library's decode gives without a decoder: the pieces with blanks between, special ones too."""
@@ -193,7 +211,8 @@ def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, ids, decoded): the ids as little-endian 32-bit integers and the text they decode to.
 
     A null text is the empty text (no ids, an empty decoded text). Null doc_ids and repeated rows keep their
-    rows; an empty table gives none; other columns play no part.
+    rows; an empty table gives none; other columns, whatever their names, play no part. A very long text is one row;
+    its runs are encoded one by one, and an unsplit run of any length as a tree.
     """
     return _mapped(docs, path, "doc_id long, ids binary, decoded string", lambda ids, text: (ids, text), [pa.binary(), pa.string()])
 
