@@ -1,17 +1,16 @@
-"""Token counts (9) under edits: a segment tree over each document's pre-token segments.
+"""Token counts (9) under edits: a segment tree over each document's pre-tokens.
 
-A segment is a run of white space with the run of other characters behind it; the tokenizer's pre-tokens never
-cross from one segment into the next, so a document's count is the sum of its segments' counts. A document keeps
-a tree of sums over its segments. An edit replaces the characters from ``start`` to ``end``: the segments it
-touches and one beside it on either side are split and counted anew, the leaves in between are replaced, and only
-sums above changed leaves are recomputed. Nothing else of the text is read or encoded again.
+A segment is a pre-token of the tokenizer's pattern, so a document's count is the sum of its segments' counts. A document
+keeps a tree of sums over its segments: ``plant`` makes it a row of a table, ``graft`` joins an edits table to those rows and
+gives the new ones. An edit replaces the characters from ``start`` to ``end``. From the segment before the one it touches, text
+is split anew until a cut falls where one fell before, beyond the edit; those segments alone are encoded, the leaves that held
+them are replaced, and only sums above changed leaves are recomputed. Nothing else of the text is encoded again.
 """
 
 from __future__ import annotations
 
 import base64
-import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
@@ -20,14 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import small_batches, table
+from plumbline.llm.common import cut, small_batches, table
 
-#: White space as the tokenizer's pattern has it (Python's own class also holds four separators).
-BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-SEGMENT = re.compile(f"[{BLANK}]*[^{BLANK}]+|[{BLANK}]+")
 #: Segments of a leaf; leaves of a node.
 LEAF, FAN = 32, 8
-KEPT_SEGMENTS = 500_000
+#: Segments kept in a worker's table before it starts again, and the letters of the longest one kept.
+KEPT_SEGMENTS, KEPT_LETTERS = 300_000, 48
 
 
 def default_path() -> str:
@@ -41,11 +38,13 @@ class Counter:
 
     def __init__(self, path: str) -> None:
         import public_tokenizers
+        import regex
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.known: dict[str, int] = {}
 
     def __call__(self, segments: list[str]) -> list[int]:
@@ -53,10 +52,11 @@ class Counter:
         return [get(s) or own(s) for s in segments]
 
     def _count(self, segment: str) -> int:
-        n = len(self.encoding.encode_ordinary(segment))
-        if len(self.known) >= KEPT_SEGMENTS:
-            self.known.clear()
-        self.known[segment] = n
+        n = len(self.encoding._encode_single_piece(segment))
+        if len(segment) <= KEPT_LETTERS:
+            if len(self.known) >= KEPT_SEGMENTS:
+                self.known.clear()
+            self.known[segment] = n
         return n
 
 
@@ -68,30 +68,42 @@ def counter(path: str) -> Counter:
 class CountTree:
     """The segments of a text in leaves, with sums of characters and tokens above them.
 
-    ``encoded`` counts the segments that were ever encoded for it.
+    A leaf is (its text, the lengths of its segments, their counts). ``encoded`` counts the segments that were ever encoded.
     """
 
-    def __init__(self, text: str, count: Counter) -> None:
+    def __init__(self, text: str, count: Counter, leaves: list[tuple[str, list[int], list[int]]] | None = None) -> None:
         self.count, self.encoded = count, 0
-        self.leaves: list[tuple[list[str], list[int]]] = []
-        segments = SEGMENT.findall(text)
-        counts = self._counted(segments)
-        self.leaves = [(segments[i : i + LEAF], counts[i : i + LEAF]) for i in range(0, len(segments), LEAF)]
-        self.chars = [sum(map(len, s)) for s, _ in self.leaves]
-        self.tokens = [sum(c) for _, c in self.leaves]
+        self.leaves = self._made(count.split(text)) if leaves is None else list(leaves)
+        self.chars = [len(x) for x, _, _ in self.leaves]
+        self.tokens = [sum(c) for _, _, c in self.leaves]
+        self.levels: list[tuple[list[int], list[int]]] = []
         self._raise(0)
 
-    def _counted(self, segments: list[str]) -> list[int]:
+    @property
+    def segments(self) -> int:
+        return sum(len(c) for _, _, c in self.leaves)
+
+    def _made(self, segments: list[str]) -> list[tuple[str, list[int], list[int]]]:
+        counts = self.count(segments)
         self.encoded += len(segments)
-        return self.count(segments)
+        return self._dealt(segments, counts)
+
+    @staticmethod
+    def _dealt(segments: list[str], counts: list[int]) -> list[tuple[str, list[int], list[int]]]:
+        out = []
+        for i in range(0, len(segments), LEAF):
+            own = segments[i : i + LEAF]
+            out.append(("".join(own), list(map(len, own)), counts[i : i + LEAF]))
+        return out
 
     def _raise(self, first: int) -> None:
         """Rebuild the sums above the leaves from leaf ``first`` on; nodes before it keep theirs."""
-        kept = getattr(self, "levels", [])
+        kept = self.levels
         self.levels, c, t, at = [], self.chars, self.tokens, first
         while len(c) > 1:
             at //= FAN
             old = kept[len(self.levels)] if len(self.levels) < len(kept) else ([], [])
+            at = min(at, len(old[0]))
             c2 = old[0][:at] + [sum(c[i : i + FAN]) for i in range(at * FAN, len(c), FAN)]
             t2 = old[1][:at] + [sum(t[i : i + FAN]) for i in range(at * FAN, len(t), FAN)]
             self.levels.append((c2, t2))
@@ -114,29 +126,46 @@ class CountTree:
         start = min(max(0, start), self.total_chars)
         end = min(max(start, end), self.total_chars)
         if not self.leaves:
-            self.__dict__.update(CountTree(new, self.count).__dict__ | {"encoded": self.encoded + len(SEGMENT.findall(new))})
+            self.leaves = self._made(self.count.split(new))
+            self.chars, self.tokens = [len(x) for x, _, _ in self.leaves], [sum(c) for _, _, c in self.leaves]
+            self._raise(0)
             return self.total
-        a, a_at = self._leaf_at(max(0, start - 1))
-        b, b_at = self._leaf_at(end)
-        segments = [s for i in range(a, b + 1) for s in self.leaves[i][0]]
-        counts = [c for i in range(a, b + 1) for c in self.leaves[i][1]]
-        ends = list(accumulate(map(len, segments)))
-        lo = max(0, bisect_left(ends, start - a_at) - 1)  # the segment that the edit touches, and the one before it
-        hi = min(len(segments), bisect_right(ends, end - a_at) + 2)  # past the one behind it
-        base = ends[lo - 1] if lo else 0
-        old = "".join(segments[lo:hi])
-        text = old[: start - a_at - base] + new + old[end - a_at - base :]
-        if hi == len(segments) and b + 1 < len(self.leaves):  # the next leaf's first segment may join
-            segments, counts, b = segments + self.leaves[b + 1][0], counts + self.leaves[b + 1][1], b + 1
-            text += segments[hi]
-            hi += 1
-        fresh = SEGMENT.findall(text)
-        segments[lo:hi], counts[lo:hi] = fresh, self._counted(fresh)
-        made = [(segments[i : i + LEAF], counts[i : i + LEAF]) for i in range(0, len(segments), LEAF)]
+        a, at = self._leaf_at(max(0, start - 1))
+        if a:  # so that the segment before is here too
+            a -= 1
+            at -= self.chars[a]
+        b, _ = self._leaf_at(end)
+        while True:
+            b = min(b + 1, len(self.leaves) - 1)
+            last = b == len(self.leaves) - 1
+            text = "".join([x for x, _, _ in self.leaves[a : b + 1]])
+            sizes = [n for _, own, _ in self.leaves[a : b + 1] for n in own]
+            counts = [n for _, _, own in self.leaves[a : b + 1] for n in own]
+            ends = list(accumulate(sizes))
+            lo = max(0, bisect_right(ends, max(0, start - at - 1)) - 1)  # the segment before the one touched
+            base = ends[lo - 1] if lo else 0
+            fresh = self.count.split(text[base : start - at] + new + text[end - at :])
+            moved = len(new) - (end - start)
+            # old cuts beyond the edit, but for the last ones of what is read here, where the text behind could matter
+            old = {e + moved: i for i, e in enumerate(ends[: len(ends) if last else -2]) if e >= end - at}
+            place, met = base, None
+            for k, s in enumerate(fresh):
+                place += len(s)
+                if place >= start - at + len(new) and place in old:
+                    met = k + 1, old[place] + 1
+                    break
+            if met or last:
+                break
+        take, hi = met or (len(fresh), len(sizes))
+        fresh = fresh[:take]
+        before = [text[e - n : e] for e, n in zip(ends[:lo], sizes[:lo], strict=True)]
+        behind = [text[e - n : e] for e, n in zip(ends[hi:], sizes[hi:], strict=True)]
+        self.encoded += len(fresh)
+        made = self._dealt(before + fresh + behind, counts[:lo] + self.count(fresh) + counts[hi:])
         same = len(made) == b + 1 - a
         self.leaves[a : b + 1] = made
-        self.chars[a : b + 1] = [sum(map(len, s)) for s, _ in made]
-        self.tokens[a : b + 1] = [sum(c) for _, c in made]
+        self.chars[a : b + 1] = [len(x) for x, _, _ in made]
+        self.tokens[a : b + 1] = [sum(c) for _, _, c in made]
         self._climb(a, b) if same else self._raise(a)
         return self.total
 
@@ -151,49 +180,83 @@ class CountTree:
         self.total_chars, self.total = (c[0], t[0]) if c else (0, 0)
 
 
-OUT = "doc_id long, n_tokens long, n_segments long, n_edits int, n_tokens_edited long, segments_encoded long"
+TREES = "doc_id long, n_tokens long, n_segments long, leaves array<struct<text:string,sizes:array<int>,counts:array<int>>>"
+GRAFTED = "doc_id long, n_tokens_before long, n_segments_before long, n_edits int, n_tokens long, n_segments long, segments_encoded long, leaves array<struct<text:string,sizes:array<int>,counts:array<int>>>"
+LEAVES = pa.list_(pa.struct([("text", pa.string()), ("sizes", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))]))
+
+
+def _leaves(tree: CountTree) -> list[dict]:
+    return [{"text": x, "sizes": n, "counts": c} for x, n, c in tree.leaves]
+
+
+def plant(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """The trees of ``docs`` (doc_id, text), a row each, for the caller to keep as a table.
+
+    A null text is the empty text. Null doc_ids and repeated rows keep their rows; an empty table gives none; other columns,
+    whatever their names, play no part. A very long text is one row.
+    """
+    path = path or default_path()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = counter(path)
+        for b in batches:
+            trees = [CountTree(x.as_py() or "", count) for x in b.column(1)]
+            cols = [b.column(0), pa.array([t.total for t in trees], pa.int64()), pa.array([t.segments for t in trees], pa.int64()), pa.array([_leaves(t) for t in trees], LEAVES)]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "n_segments", "leaves"])
+
+    small_batches(docs.sparkSession, 500)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, TREES)
 
 
-def counts(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """Token counts of every row of ``docs`` (doc_id, text, edits), before and after its edits.
+def graft(trees: DataFrame, edits: DataFrame, path: str | None = None) -> DataFrame:
+    """The rows of ``trees`` after ``edits`` (doc_id, edits), joined by doc_id.
 
-    ``edits`` is an array of structs (at long, until long, put string), applied one after another, each to the
-    text that those before it left; offsets count characters and are clipped to the text. A null array has no
-    edits, a null edit or offset changes nothing and a null ``put`` deletes. A null text is the empty text.
-    Null doc_ids and repeated rows keep their rows; an empty table gives none.
+    ``edits.edits`` is an array of structs (at long, until long, put string), applied one after another, each to the
+    text that those before it left; offsets count characters and are clipped to the text. A document without a row of edits
+    stays as it is, and so does one without an id; a null edit or offset changes nothing and a null ``put`` deletes. Rows of
+    edits that share a doc_id are applied to copies of the tree. Only leaves that edits touch are encoded anew.
     """
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path)
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), LEAVES]
         for b in batches:
             rows = []
-            for doc_id, text, edits in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
-                tree = CountTree(text.as_py() or "", count)
-                total, segments, done, encoded = tree.total, tree.encoded, 0, tree.encoded
-                for e in edits.as_py() or []:
+            for doc_id, n, segments, leaves, own in zip(*(c.to_pylist() for c in b.columns[:3]), b.column(3), b.column(4).to_pylist(), strict=True):
+                tree, done = CountTree("", count, [(x["text"], x["sizes"], x["counts"]) for x in leaves.as_py()]), 0
+                for e in own or []:
                     if e is not None and e["at"] is not None and e["until"] is not None:
                         tree.edit(e["at"], e["until"], e["put"] or "")
                         done += 1
-                rows.append((doc_id, total, segments, done, tree.total, tree.encoded - encoded))
+                rows.append((doc_id, n, segments, done, tree.total, tree.segments, tree.encoded, _leaves(tree)))
             cols = zip(*rows, strict=True) if rows else [[] for _ in kinds]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], names=[f.split()[0] for f in OUT.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], names=NAMES)
 
-    small_batches(docs.sparkSession, 500)
+    small_batches(trees.sparkSession, 500)
     kind = "array<struct<at:long,until:long,put:string>>"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("edits").cast(kind).alias("edits")).mapInArrow(run, OUT)
+    told = edits.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("edits").cast(kind).alias("edits"))
+    return trees.join(told, "doc_id", "left").select("doc_id", "n_tokens", "n_segments", "leaves", "edits").mapInArrow(run, GRAFTED)
+
+
+NAMES = ["doc_id", "n_tokens_before", "n_segments_before", "n_edits", "n_tokens", "n_segments", "segments_encoded", "leaves"]
 
 
 def standard_edits(docs: DataFrame) -> DataFrame:
-    """``docs`` with three edits each: a word in front, a cut of 40 characters from the middle, a line at the end."""
-    n = F.coalesce(F.char_length("text"), F.lit(0)).cast("long")
+    """(doc_id, edits) with three edits for each id: a word in front, a cut of 40 characters from the middle, a line at the end.
+
+    Of rows that share a doc_id the longest text tells the places.
+    """
+    n = F.max(F.coalesce(F.char_length("text"), F.lit(0)).cast("long")).alias("n")
+    n, rows = F.col("n"), docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(n)
     edit = lambda a, b, s: F.struct(a.cast("long").alias("at"), b.cast("long").alias("until"), F.lit(s).alias("put"))
     middle = F.floor(n / 2)
-    edits = F.array(edit(F.lit(0), F.lit(0), "Revised "), edit(middle, middle + 40, "x"), edit(n + 8, n + 8, "\nEnd of text."))
-    return docs.select("doc_id", "text", edits.alias("edits"))
+    return rows.select("doc_id", F.array(edit(F.lit(0), F.lit(0), "Revised "), edit(middle, middle + 40, "x"), edit(n + 8, n + 8, "\nEnd of text.")).alias("edits"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op9: counts of every whole document before and after the standard edits."""
-    return counts(standard_edits(table(spark, sf_dir, "documents")))
+    """op9: counts of every whole document before and after the standard edits, from kept trees."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    trees = cut(plant(docs), "trees")
+    out = graft(trees, standard_edits(docs))
+    return out.select("doc_id", F.col("n_tokens_before").alias("n_tokens"), F.col("n_segments_before").alias("n_segments"), "n_edits", F.col("n_tokens").alias("n_tokens_edited"), "segments_encoded")

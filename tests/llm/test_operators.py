@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -156,7 +157,7 @@ def test_tree_concatenation_of_long_words(letters):
         assert np.frombuffer(c.encode(s), "<u4").tolist() == library(s)[0]
 
 
-@pytest.mark.parametrize("text", ["x<|endoftext|>y", "ΣΑΣ Σ", "é ñ", "it's we'RE 12 3½ ²", "a\x1cb \x85 c", "İ ŉ ǰ"])
+@pytest.mark.parametrize("text", ["x<|endoftext|>y", "<|startoftext|><|endoftext|> <|ENDOFTEXT|>", "e\u0301" * 400 + "<|endoftext|>" + "Σ" * 300, "a\x1fb\x1c \x1d", "\u200b \u2028 x\x85", "ΣΑΣ Σ", "é ñ", "it's we'RE 12 3½ ²", "a\x1cb \x85 c", "İ ŉ ǰ"])
 def test_bpe_odd_texts(text):
     c = bpe.codec(bpe.default_path())
     ids, decoded = library(text)
@@ -203,17 +204,32 @@ def test_token_counts_under_edits():
             got = tree.edit(a, b, new)
             text = text[: min(a, len(text))] + new + text[min(b, len(text)) :]
             assert got == len(count.encoding.encode_ordinary(text))
-    big = token_counts.CountTree("word " * 50_000, count)
-    before = big.encoded
-    big.edit(1000, 1004, "x")
-    assert big.encoded - before < 10
+    for big in (token_counts.CountTree("word " * 50_000, count), token_counts.CountTree("a1-" * 50_000, count)):
+        before = big.encoded
+        big.edit(1000, 1004, "x")
+        assert 0 < big.encoded - before < 12
 
 
-def test_token_counts_query(docs, rows):
-    got = token_counts.counts(token_counts.standard_edits(docs)).collect()
-    count = token_counts.counter(token_counts.default_path()).encoding.encode_ordinary
-    assert sorted(r["n_tokens"] for r in got) == sorted(len(count(t or "")) for _, t, *_ in rows)
-    assert token_counts.counts(token_counts.standard_edits(empty(docs))).count() == 0
+def test_kept_trees_take_edits(docs, rows):
+    trees = token_counts.plant(docs)
+    edits = token_counts.standard_edits(docs)
+    told = {r["doc_id"]: r["edits"] for r in edits.collect()}
+    count = token_counts.counter(token_counts.default_path())
+    plain = lambda t: len(count.encoding.encode_ordinary(t))
+    want, grafted = [], token_counts.graft(trees, edits)
+    for i, t, *_ in rows:
+        new = t or ""
+        for e in told.get(i, []):
+            new = new[: e["at"]] + e["put"] + new[e["until"] :]
+        want.append((str(i), plain(t or ""), len(count.split(t or "")), 3 if i is not None else 0, plain(new), len(count.split(new)), new))
+    text = lambda r: "".join(x["text"] for x in r["leaves"])
+    got = [(str(r["doc_id"]), r["n_tokens_before"], r["n_segments_before"], r["n_edits"], r["n_tokens"], r["n_segments"], text(r)) for r in grafted.collect()]
+    assert sorted(got) == sorted(want)
+    assert all(r["segments_encoded"] < 60 for r in grafted.where("n_segments_before > 300").collect())
+    # the rows that come out are trees again
+    again = token_counts.graft(grafted.drop("n_tokens_before", "n_segments_before", "n_edits", "segments_encoded"), edits.limit(0))
+    assert sorted(r["n_tokens"] for r in again.collect()) == sorted(w[4] for w in want)
+    assert token_counts.graft(token_counts.plant(empty(docs)), edits).count() == 0
 
 
 def test_line_templates_drop_recurring_lines(spark):
@@ -389,15 +405,52 @@ def test_best_fit_against_a_plain_version():
     assert list(packing.pack_shard(pieces, 64)) == want
 
 
+WRAPPED = {
+    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+    "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+}
+CLEAN = [
+    None, "", "nothing of the kind", "She lost her driving license in May and walked.", "The permission slip was signed by both parents.",
+    "The warranty covers the software of the car, provided that the above conditions are met by the owner.", "Copyright and public domain were the topics of the licence course, free of charge for any person.",
+    "The General Public was told of the License by the Foundation, under the terms of the meeting.", "Mozilla and GNU have to be named in any copy of the warranty.",
+]
+
+
 def test_licences(spark):
-    model = licences.fit(["Thand ing the of it re tion here.", "Le ou de la que et tion mente ar."])
-    own = [(i, f"Some words here.\n{t}\nMore of them.", f) for i, (f, t) in enumerate((f, t) for f, ts in licences.TEMPLATES.items() for t in ts if len(t.split()) < 25)]
-    other = [(1000 + i, t, None) for i, t in enumerate([None, "", "nothing of the kind", "She lost her driving license in May and walked.", "The permission slip was signed by both parents."])]
-    docs = spark.createDataFrame([*own, *other], "doc_id long, text string, family string")
-    got = {r["doc_id"]: [x for x in r["found"] if x["confirmed"]] for r in licences.scan(docs.select("doc_id", "text"), model).collect()}
-    right = sum(any(x["family"] == f and x["paragraph"] == 1 for x in got[i]) for i, _, f in own)
-    assert right >= 0.9 * len(own) and not any(got[i] for i, *_ in other)
-    assert licences.scan(docs.limit(0).select("doc_id", "text"), model).count() == 0
+    rng = random.Random(31)
+    negatives = [[word(rng) for _ in range(30)] for _ in range(20)] + [re.findall("[a-z]+", t.lower()) for t in CLEAN[3:5]]
+    model = licences.fit(negatives)
+    filler = lambda: prose(rng, rng.randint(5, 150)).capitalize() + "."
+    docs = []
+    for f, t in WRAPPED.items():
+        for width in (60, 78, 1000):
+            docs.append((f, f"{filler()}\n\n{textwrap.fill(t, width)}\n\n{filler()}"))
+            docs.append((f, filler() + "\n" + "\n".join("# " + x for x in textwrap.wrap(t, width)) + f"\n{filler()}"))
+        docs.append((f, prose(rng, 5000) + " " + t + " " + prose(rng, 3000)))
+    docs += [(f, f"{filler()}\n{t}\n{filler()}") for f, own in licences.TEMPLATES.items() for t in own]
+    docs += [(None, t) for t in CLEAN] + [(None, filler()) for _ in range(20)]
+    df = spark.createDataFrame([(i, t, "x", "y") for i, (_, t) in enumerate(docs)] + [(None, None, "x", "y")], "doc_id long, text string, found string, paragraph string")
+    got = {r["doc_id"]: [tuple(x) for x in r["found"]] for r in licences.scan(df, model).collect()}
+    for i, (f, t) in enumerate(docs):
+        assert {x[1] for x in got[i] if x[3]} == ({f} if f else set()), (f, t and t[:300], got[i])
+        # a plain second version: every window is scored, without the gate
+        want = {}
+        for k, p in enumerate(licences.paragraphs(t or "")):
+            for w in licences.windows(licences.words(p)):
+                ((family, score),) = model.predict([w])
+                if family != licences.UNKNOWN and licences.confirmed(family, w):
+                    want[k, family] = max(want.get((k, family), 0), round(score, 5))
+        assert {(x[0], x[1]): round(x[2], 5) for x in got[i] if x[3]} == want
+    assert got[None] == [] and licences.scan(df.limit(0), model).count() == 0
+
+
+def test_licences_fit_on_a_corpus(spark):
+    texts = [*WRAPPED.values(), *[t for t in CLEAN if t], "in case of the loss of the copy, the software is to be sold. " * 40] * 3
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    model = licences.fit_on(docs, negatives=50)
+    assert {x[1] for x in licences.judged(WRAPPED["MIT"], model) if x[3]} == {"MIT"} and not [x for t in CLEAN if t for x in licences.judged(t, model) if x[3]]
 
 
 def test_neighbours_recall_and_order(spark):
@@ -437,3 +490,21 @@ def test_neighbours_in_a_tight_group(spark):
         s[q] = -2
         hits += len({*np.argsort(-s)[:5].tolist()} & {r["vec_id"] for r in got if r["query_id"] == q})
     assert hits >= 0.9 * 200, hits / 200
+
+
+def test_neighbours_of_many_clusters(spark):
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((400, 64))[rng.integers(0, 400, 12_000)] + 0.15 * rng.standard_normal((12_000, 64))
+    x[3000:7000] = x[0]  # a third of all rows are one vector
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = neighbours.search(df, F.col("vec_id") % 50 == 0).collect()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits, asked = 0, [q for q in range(0, 12_000, 50) if not 3000 <= q < 7000]
+    for q in asked:
+        s = u @ u[q]
+        s[q] = -2
+        worst = np.partition(s, -5)[-5]
+        hits += sum(s[r["vec_id"]] >= worst - 1e-12 for r in got if r["query_id"] == q)
+    assert hits >= 0.9 * 5 * len(asked), hits / len(asked) / 5
+    copies = [r["vec_id"] for r in got if r["query_id"] == 3050]
+    assert sorted(copies) == [0, 3000, 3001, 3002, 3003]
