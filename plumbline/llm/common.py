@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.plans.storage import cut, fresh_path, shared_dir
 
-__all__ = ["BATCH_ROWS", "cut", "fresh_path", "own_names", "shared_dir", "shuffle_parts", "small_batches", "table"]
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "cut", "fresh_path", "own_names", "shared_dir", "shuffle_parts", "small_batches", "table"]
 
-#: Rows of one Arrow batch handed to Python: with texts of a few KB a batch stays in the low MB.
-BATCH_ROWS = 2000
+#: Rows and bytes of one Arrow batch handed to Python; a batch ends where it reaches either.
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,9 +17,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the rows of a batch that Spark hands to Python (the session's setting, read when a plan runs)."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Bound the batches that Spark hands to Python: the session's settings, which a plan reads when it runs.
+
+    Every operator asks for the same bounds; a session that has lower ones keeps them.
+    """
+    for key, most, parse in (("maxRecordsPerBatch", BATCH_ROWS, int), ("maxBytesPerBatch", BATCH_BYTES, _bytes)):
+        key = "spark.sql.execution.arrow." + key
+        if not 0 < parse(spark.conf.get(key)) <= most:
+            spark.conf.set(key, str(most))
+
+
+def _bytes(text: str) -> int:
+    number = text.lower().rstrip("b")
+    return int(number.rstrip("kmg")) << {"k": 10, "m": 20, "g": 30}.get(number[-1:], 0)
 
 
 def shuffle_parts(spark: SparkSession) -> int:

@@ -4,12 +4,14 @@ A word's score for a language is the log probability of its letter pairs and tri
 languages that were seen writing it; the others are no candidates for its words. Over a text the best path pays
 ``SWITCH`` whenever the language changes, so a stray word changes nothing and a foreign passage is a span of its
 own. The path is found in blocks of words: a block's best scores from every entry to every exit language come
-for all blocks of a batch at once, then blocks are chained, then each block is walked back.
+for many blocks at once, as many as ``ROOM`` allows whatever the number of languages, then blocks are chained, then each
+block is walked back. Words of a script that no language was seen to write have no vote and no place on the path.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,8 +28,10 @@ UNKNOWN = "und"
 SAMPLE_DOCS = 2000
 #: The price of a change of language, in nats.
 SWITCH = 8.0
-#: Words of a block, entries of a worker's word table.
-BLOCK, KEPT_WORDS = 64, 400_000
+#: Words of a block, entries of a worker's word table, letters of the longest word kept there.
+BLOCK, KEPT_WORDS, KEPT_LETTERS = 64, 400_000, 64
+#: Cells (word, entry, language) that are worked on at once.
+ROOM = 1 << 25
 #: A language writes a script if at least this share of its words does.
 WRITES = 0.005
 NO_CANDIDATE = -60.0
@@ -43,7 +47,23 @@ SCRIPTS = [
     ("Khmer", 0x1780, 0x17FF), ("Kana", 0x3040, 0x30FF), ("Han", 0x3400, 0x4DBF), ("Han", 0x4E00, 0x9FFF), ("Hangul", 0xAC00, 0xD7A3),
 ]
 
+#: Blocks of combining marks, which stand inside words.
+MARKS = "\u0300-\u036f\u0483-\u0487\u0591-\u05c7\u0610-\u061a\u064b-\u065f\u0670\u06d6-\u06ed\u0900-\u0903\u093a-\u094f\u0951-\u0957\u0962\u0963\u0981-\u0983\u09bc-\u09cd\u0a01-\u0a03\u0a3c-\u0a4d\u0a81-\u0a83\u0abc-\u0acd\u0b82\u0bbe-\u0bcd\u0c00-\u0c04\u0c3e-\u0c56\u0c81-\u0c83\u0cbc-\u0cd6\u0d00-\u0d03\u0d3b-\u0d4d\u0d82\u0d83\u0dca-\u0ddf\u0e31\u0e34-\u0e3a\u0e47-\u0e4e\u0eb1\u0eb4-\u0ebc\u0ec8-\u0ecd\u102b-\u103e\u135d-\u135f\u17b4-\u17d3\u200c\u200d\u3099\u309a"
 WORD = re.compile(r"[^\W\d_]+")
+MARKED = re.compile(rf"[^\W\d_](?:[^\W\d_]|[{MARKS}])*")
+MARK = re.compile(f"[{MARKS}]")
+
+
+def pattern(text: str) -> re.Pattern:
+    """The pattern of the words of a text; the slower one where marks stand in it."""
+    return WORD if text.isascii() or not MARK.search(text) else MARKED
+
+
+def find_words(text: str) -> list[str]:
+    """The words of a lower-case text, composed, so that one written with marks is the same as one without."""
+    if text.isascii() or not MARK.search(text):
+        return WORD.findall(text)
+    return [unicodedata.normalize("NFC", w) for w in MARKED.findall(text)]
 
 
 def script(word: str) -> str:
@@ -53,7 +73,7 @@ def script(word: str) -> str:
 
 
 def has_letter(word: str) -> bool:
-    return word.isalpha() or any(c.isalpha() for c in word)
+    return word.isalpha() or any(map(str.isalpha, word))
 
 
 def grams(word: str) -> list[str]:
@@ -95,7 +115,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
         for b in batches:
             words: dict[str, Counter] = {}
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words.setdefault(lang, Counter()).update(w for w in WORD.findall(text.lower()) if has_letter(w))
+                words.setdefault(lang, Counter()).update(w for w in find_words(text.lower()) if has_letter(w))
             found: Counter = Counter()
             for lang, own in words.items():
                 for w, n in own.items():
@@ -129,65 +149,117 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
 
 
 class Labeller:
-    """Labels texts by a model; keeps the scores of recurring words."""
+    """Labels texts by a model; keeps the scores of recurring words.
 
-    def __init__(self, model: Model, switch: float = SWITCH) -> None:
-        self.model, self.switch = model, switch
+    A word's number is its row of ``scores``: 0 for what holds no letter, 1 for a word that has no vote.
+    """
+
+    def __init__(self, model: Model, switch: float = SWITCH, room: int = ROOM) -> None:
+        self.model, self.switch, self.room = model, switch, room
+        self._forget()
+
+    def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.scores = np.zeros((1024, len(model.languages)), np.float32)
+        self.used = 2
+        self.scores = np.zeros((1024, len(self.model.languages)), np.float32)
 
-    def _learn(self, words: list[str]) -> None:
-        """Score words not met before; number 0 is what holds no letter."""
+    def _learn(self, words: list[str]) -> dict[str, int]:
+        """Number and score words not met before; a long one is not kept beyond the batch."""
         m, of, get = self.model, len(self.model.rows), self.model.rows.get
-        at = len(self.known) + 1
-        if at + len(words) > len(self.scores):
-            self.scores = np.concatenate([self.scores, np.zeros((max(len(self.scores), len(words)), self.scores.shape[1]), np.float32)])
-        every = [[get(g, of) for g in grams(w)] for w in words]
-        starts = np.cumsum([0, *map(len, every)])[:-1]
-        got = np.add.reduceat(m.table[[i for x in every for i in x]], starts, axis=0)
-        own = {}
-        for k, w in enumerate(words):
+        votes: dict[str, np.ndarray | None] = {}
+        for w in words:
             s = script(w)
-            if s not in own:
+            if s not in votes:
                 may = m.scripts.get(s)
-                own[s] = None if may is None or not may.any() else np.where(may, 0, NO_CANDIDATE).astype(np.float32)
-            got[k] = 0 if own[s] is None else got[k] - got[k].max() + own[s]
-        self.scores[at : at + len(words)] = got
-        self.known.update({w: at + k for k, w in enumerate(words)})
+                votes[s] = None if may is None or not may.any() else np.where(may, 0, NO_CANDIDATE).astype(np.float32)
+        numbers = {w: 1 for w in words if votes[script(w)] is None}
+        words = [w for w in words if w not in numbers]
+        if words:
+            at = self.used
+            if at + len(words) > len(self.scores):
+                self.scores = np.concatenate([self.scores, np.zeros((max(len(self.scores), len(words)), self.scores.shape[1]), np.float32)])
+            every = [[get(g, of) for g in grams(w)] for w in words]
+            starts = np.cumsum([0, *map(len, every)])[:-1]
+            got = np.add.reduceat(m.table[[i for x in every for i in x]], starts, axis=0)
+            got += np.array([votes[script(w)] for w in words]) - got.max(axis=1, keepdims=True)
+            self.scores[at : at + len(words)] = got
+            self.used += len(words)
+            numbers |= {w: at + k for k, w in enumerate(words)}
+        self.known |= {w: n for w, n in numbers.items() if len(w) <= KEPT_LETTERS}
+        return numbers
 
     def numbers(self, texts: list[str]) -> list[np.ndarray]:
         """The numbers of each text's words, in order; those without a letter left out."""
-        found = [WORD.findall(t.lower()) for t in texts]
-        if len(self.known) > KEPT_WORDS:
-            self.known, self.scores = {}, self.scores[:1024]
+        found = [find_words(t.lower()) for t in texts]
+        if len(self.known) > KEPT_WORDS or self.used > 2 * KEPT_WORDS:
+            self._forget()
         new = {w for ws in found for w in ws if w not in self.known}
         none = {w for w in new if not has_letter(w)}
-        if new := sorted(new - none):
-            self._learn(new)
+        now = self._learn(sorted(new - none)) if new - none else {}
         get = self.known.get
-        out = [np.array([get(w, 0) for w in ws], dtype=np.int32) for ws in found]
+        out = [np.array([get(w) or now.get(w, 0) for w in ws], dtype=np.int32) for ws in found]
         return [x[x > 0] for x in out]
 
     def paths(self, numbers: list[np.ndarray]) -> list[np.ndarray]:
-        """The best language of every word of every text."""
+        """The best language of every word of every text, words that have a vote."""
+        most = max(1, self.room // (BLOCK * max(1, len(self.model.languages)) ** 2))
+        out: list[np.ndarray] = []
+        group: list[np.ndarray] = []
+        held = 0
+        for x in numbers:
+            blocks = -(-len(x) // BLOCK)
+            if blocks > most:
+                out += self._group(group) + [self._long(x, most * BLOCK)]
+                group, held = [], 0
+                continue
+            if held + blocks > most:
+                out += self._group(group)
+                group, held = [], 0
+            group.append(x)
+            held += blocks
+        return out + self._group(group)
+
+    def _long(self, x: np.ndarray, size: int) -> np.ndarray:
+        """The path of one long text, in stretches: scores forward, then each stretch again from the last one back."""
+        n = len(self.model.languages)
+        parts = [x[i : i + size] for i in range(0, len(x), size)]
+        at = [np.zeros(n, np.float32)]
+        for k, p in enumerate(parts[:-1]):
+            at.append(self._solve([p], at[-1][None], first=not k)[1][0])
+        labels: list[np.ndarray] = []
+        out = None
+        for k in range(len(parts) - 1, -1, -1):
+            own, _, out = self._solve([parts[k]], at[k][None], first=not k, exits=out)
+            labels.append(own[0])
+        return np.concatenate(labels[::-1])
+
+    def _group(self, numbers: list[np.ndarray]) -> list[np.ndarray]:
+        if not sum(map(len, numbers)):
+            return [np.zeros(0, np.int16) for _ in numbers]
+        return self._solve(numbers, np.zeros((len(numbers), len(self.model.languages)), np.float32), first=True)[0]
+
+    def _solve(self, numbers: list[np.ndarray], at: np.ndarray, first: bool, exits: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """(labels, best scores at the end, languages entered from) of texts that are entered with the scores ``at``.
+
+        ``first`` says that the texts begin here, where any language starts for nothing; ``exits`` fixes their last languages.
+        """
         n_lang = len(self.model.languages)
         blocks = [-(-len(x) // BLOCK) for x in numbers]
         total = sum(blocks)
-        if not total:
-            return [np.zeros(0, np.int8) for _ in numbers]
-        first = np.cumsum([0, *blocks])
+        start = np.cumsum([0, *blocks])
         flat = np.zeros(total * BLOCK, np.int32)
         length = np.full(total, BLOCK)
-        for x, a, b in zip(numbers, first[:-1], blocks, strict=True):
+        for x, a, b in zip(numbers, start[:-1], blocks, strict=True):
             if b:
                 flat[a * BLOCK : a * BLOCK + len(x)] = x
                 length[a + b - 1] = len(x) - (b - 1) * BLOCK
         score = self.scores[flat].reshape(total, BLOCK, n_lang)
         score[flat.reshape(total, BLOCK) == 0] = 0
         lam = np.float32(self.switch)
-        best = np.where(np.eye(n_lang, dtype=bool), 0, -lam).astype(np.float32)[None] + score[:, 0, None, :]  # block, entry, language
+        same = np.eye(n_lang, dtype=bool)
+        best = np.where(same, 0, -lam).astype(np.float32)[None] + score[:, 0, None, :]  # block, entry, language
         stay = np.ones((BLOCK, total, n_lang, n_lang), bool)
-        whence = np.zeros((BLOCK, total, n_lang), np.int8)
+        whence = np.zeros((BLOCK, total, n_lang), np.int16)
         for t in range(1, BLOCK):
             whence[t] = best.argmax(axis=2)
             moved = best.max(axis=2, keepdims=True) - lam
@@ -196,56 +268,62 @@ class Labeller:
             stay[t] = keep
             best = np.where(keep, best, moved) + score[:, t, None, :]
         # chain blocks: the k-th block of every text at once
-        exits, back = np.zeros(total, np.int8), np.zeros((total, n_lang), np.int8)
+        ends, back = np.zeros(total, np.int16), np.zeros((total, n_lang), np.int16)
         counts = np.array(blocks)
         texts = np.flatnonzero(counts)
-        at = np.zeros((len(counts), n_lang), np.float32)
+        at = at.copy()
         for k in range(counts.max()):
             live = texts[counts[texts] > k]
-            rows = first[live] + k
-            through = at[live][:, :, None] + best[rows] if k else best[rows] + np.where(np.eye(n_lang, dtype=bool), 0, NO_CANDIDATE * 100).astype(np.float32)
+            rows = start[live] + k
+            through = best[rows] + np.where(same, 0, NO_CANDIDATE * 100).astype(np.float32) if first and not k else at[live][:, :, None] + best[rows]
             back[rows] = through.argmax(axis=1)
             at[live] = through.max(axis=1)
-        entry = np.zeros(total, np.int8)
-        out = at.argmax(axis=1)
+        entry = np.zeros(total, np.int16)
+        out = at.argmax(axis=1) if exits is None else exits
         for k in range(counts.max() - 1, -1, -1):
             live = texts[counts[texts] > k]
-            rows = first[live] + k
-            exits[rows] = out[live]
+            rows = start[live] + k
+            ends[rows] = out[live]
             entry[rows] = back[rows, out[live]]
             out[live] = entry[rows]
         # walk every block back from its exit
-        labels, now, every = np.zeros((total, BLOCK), np.int8), exits.astype(np.int64), np.arange(total)
+        labels, now, every = np.zeros((total, BLOCK), np.int16), ends.astype(np.int64), np.arange(total)
         for t in range(BLOCK - 1, -1, -1):
             labels[:, t] = now
             if t:
                 now = np.where(stay[t, every, entry, now], now, whence[t, every, entry])
         flat_labels = labels.reshape(-1)
-        return [flat_labels[a * BLOCK : a * BLOCK + len(x)] for x, a in zip(numbers, first[:-1], strict=True)]
+        return [flat_labels[a * BLOCK : a * BLOCK + len(x)] for x, a in zip(numbers, start[:-1], strict=True)], at, out
 
     def label(self, texts: list[str]) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
-        """(language, share of the words on the path that are its, spans of characters) for each text."""
+        """(language, share of the words with a letter that are its on the path, spans of characters) for each text."""
         languages = self.model.languages
         if not languages:
             return [(UNKNOWN, 0.0, []) for _ in texts]
-        numbers = self.numbers(texts)
+        every = self.numbers(texts)
+        numbers = [x[x > 1] for x in every]
         out = []
-        for text, own, path in zip(texts, numbers, self.paths(numbers), strict=True):
-            if not len(path):
+        for text, whole, own, path in zip(texts, every, numbers, self.paths(numbers), strict=True):
+            if not len(whole):
                 out.append((UNKNOWN, 0.0, []))
                 continue
+            if not len(path):  # letters, but of no script that was learned: all that is known is what is frequent
+                out.append((languages[int(self.model.prior.argmax())], 0.0, []))
+                continue
             n = np.bincount(path, minlength=len(languages))
             top = np.flatnonzero(n == n.max())
             if len(top) > 1:
                 top = top[np.argsort(-self.scores[own].sum(axis=0)[top] - 1e-9 * self.model.prior[top], kind="stable")]
             changes = np.flatnonzero(np.diff(path)) + 1
             if len(changes):
-                at = [m.start() for m in WORD.finditer(text.lower()) if has_letter(m[0])] if len(text.lower()) == len(text) else _starts(text)
-                places = [0, *(at[i] for i in changes), len(text)]
+                low = text.lower()
+                at = [m.start() for m in pattern(low).finditer(low) if has_letter(m[0])] if len(low) == len(text) else _starts(text)
+                at = np.array(at)[whole > 1]
+                places = [0, *(int(at[i]) for i in changes), len(text)]
             else:
                 places = [0, len(text)]
             spans = [(a, b, languages[path[i]]) for a, b, i in zip(places, places[1:], [0, *changes], strict=False)]
-            out.append((languages[top[0]], float(n[top[0]]) / len(path), spans))
+            out.append((languages[top[0]], float(n[top[0]]) / len(whole), spans))
         return out
 
 
@@ -255,7 +333,8 @@ def _starts(text: str) -> list[int]:
     for c in text:
         n += len(c.lower())
         ends.append(n)
-    return [int(np.searchsorted(ends, m.start(), side="right")) for m in WORD.finditer(text.lower()) if has_letter(m[0])]
+    low = text.lower()
+    return [int(np.searchsorted(ends, m.start(), side="right")) for m in pattern(low).finditer(low) if has_letter(m[0])]
 
 
 SPANS = "array<struct<start:int,end:int,lang:string>>"
@@ -265,9 +344,10 @@ def identify(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame
     """``docs`` with lang_pred, lang_score and lang_spans appended (replacing columns of those names).
 
     A null text, or one without a letter, is 'und' with score 0 and no spans; so is every text if the model
-    learned no language. Words of a script that no language was seen to write count for none. Ties go to the
-    language with the higher sum of scores, then the more frequent one, then by name. Repeated rows and null
-    ids keep their rows; an empty table gives none.
+    learned no language. Words of a script that no language was seen to write count for none; a text of such words
+    alone gets the most frequent language with score 0 and no spans. Ties go to the language with the higher sum of
+    scores, then the more frequent one, then by name. Repeated rows and null ids keep their rows; an empty table gives
+    none. Other columns may have any name. A very long text is read whole, its path found in stretches.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
@@ -284,7 +364,7 @@ def identify(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame
             cols = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array(spans, kind)]
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*kept, *new])
 
-    small_batches(spark, 500)
+    small_batches(spark)
     fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(run, f"{fields}, lang_pred string, lang_score double, lang_spans {SPANS}")
 

@@ -130,6 +130,8 @@ def test_components_of_a_chain(spark):
 
 
 def test_one_of_each_keeps_one(docs, rows):
+    clash = docs.withColumns({c: F.lit(1) for c in ("__doc", "component_id", "kept")})
+    assert simhash.one_of_each(clash).count() == simhash.one_of_each(docs).count()
     kept = [r["doc_id"] for r in simhash.one_of_each(docs).collect()]
     members = simhash.near_duplicates(docs).collect()
     assert sorted(x for x in kept if x is not None) == sorted({r["component_id"] for r in members if r["component_id"] is not None})
@@ -191,6 +193,19 @@ def test_token_files(spark, docs, rows, tmp_path):
     assert token_files.read_token_files(token_files.write_token_files(empty(docs), str(tmp_path / "none"))).count() == 0
 
 
+def test_token_files_that_are_cut_short_raise(docs, tmp_path):
+    manifest = token_files.write_token_files(docs, str(tmp_path / "ids"))
+    path = manifest.first()["path"]
+    index = open(path + ".idx", "rb").read()
+    for damaged in (index[:-20], index[:-7], index[:5] + bytes([index[5] ^ 1]) + index[6:]):
+        open(path + ".idx", "wb").write(damaged)
+        with pytest.raises(Exception, match="index|manifest"):
+            token_files.read_token_files(manifest).collect()
+    open(path + ".idx", "wb").write(index)
+    with pytest.raises(Exception, match="manifest"):
+        token_files.read_token_files(manifest.withColumn("docs", F.col("docs") + 1)).collect()
+
+
 def test_token_counts_under_edits():
     count = token_counts.counter(token_counts.default_path())
     rng = random.Random(3)
@@ -298,29 +313,71 @@ def test_language_id(spark, languages):
     odd = spark.createDataFrame([(900, None), (901, ""), (902, "123 !! 45"), (903, "漢字だけ"), (904, mixed), (None, "the wh and")], "doc_id long, text string")
     got = {r["doc_id"]: r for r in langid.identify(odd, model).collect()}
     assert all(got[i]["lang_pred"] == "und" and got[i]["lang_score"] == 0 for i in (900, 901, 902))
-    assert got[903]["lang_pred"] in model.languages and got[None]["lang_pred"] == "aa"
+    assert (got[903]["lang_pred"], got[903]["lang_score"], got[903]["lang_spans"]) == (model.languages[int(model.prior.argmax())], 0.0, [])
+    assert got[None]["lang_pred"] == "aa"
+    (half,) = langid.Labeller(model).label(["the ing wh and 漢字 漢 字 かな"])
+    assert half[:2] == ("aa", 0.5)
     assert [s["lang"] for s in got[904]["lang_spans"]] == ["aa", "bb"] and got[904]["lang_spans"][-1]["end"] == len(mixed)
     held = langid.identify(docs.where(langid.held_out()), model)
     assert held.where("lang_pred <> lang").count() == 0 and held.count() > 5
     assert langid.identify(odd, langid.fit(docs.limit(0))).where("lang_pred <> 'und'").count() == 0
 
 
-def test_viterbi_blocks_equal_plain_viterbi(languages):
+def plain_label(labeller, text):
+    """(language, score) by plain Viterbi, word by word."""
+    words = [w for w in langid.find_words(text.lower()) if langid.has_letter(w)]
+    (every,) = labeller.numbers([text])
+    assert len(every) == len(words)
+    e = labeller.scores[every[every > 1]].astype(float)
+    languages = labeller.model.languages
+    if not len(words):
+        return "und", 0.0, None
+    if not len(e):
+        return languages[int(labeller.model.prior.argmax())], 0.0, None
+    best, back = e[0], []
+    for row in e[1:]:
+        to = np.where(best >= best.max() - labeller.switch, np.arange(len(best)), best.argmax())
+        back.append(to)
+        best = np.maximum(best, best.max() - labeller.switch) + row
+    at = [int(best.argmax())]
+    for to in reversed(back):
+        at.append(int(to[at[-1]]))
+    n = np.bincount(at, minlength=len(languages))
+    top = sorted(np.flatnonzero(n == n.max()), key=lambda k: (-e.sum(axis=0)[k], k))[0]
+    return languages[top], n[top] / len(words), best.max()
+
+
+@pytest.mark.parametrize("room", [1, 64 * 9 * 3, langid.ROOM])
+def test_language_against_plain_viterbi(languages, room):
     docs, mixed = languages
     model = langid.fit(docs)
-    labeller = langid.Labeller(model, switch=3.0)
+    labeller = langid.Labeller(model, switch=3.0, room=room)
     rng = random.Random(6)
-    texts = [mixed, prose(rng, 200), mixed * 3, "the", ""]
-    numbers = labeller.numbers(texts)
-    for own, path in zip(numbers, labeller.paths(numbers), strict=True):
-        if not len(own):
-            continue
-        e = labeller.scores[own].astype(float)
-        best = e[0]
-        for row in e[1:]:
-            best = np.maximum(best, best.max() - 3.0) + row
-        value = e[np.arange(len(path)), path].sum() - 3.0 * (np.diff(path) != 0).sum()
-        assert value == pytest.approx(best.max(), abs=0.05)
+    own = [r["text"] for r in docs.limit(12).collect()]
+    texts = [mixed, prose(rng, 200), mixed * 3, "the", "", "漢字", mixed + " 漢字 " + own[2], " ".join(own) * 2, *own]
+    numbers = [x[x > 1] for x in labeller.numbers(texts)]
+    for text, own, path, got in zip(texts, numbers, labeller.paths(numbers), labeller.label(texts), strict=True):
+        lang, score, value = plain_label(labeller, text)
+        if value is not None:
+            e = labeller.scores[own].astype(float)
+            assert e[np.arange(len(path)), path].sum() - 3.0 * (np.diff(path) != 0).sum() == pytest.approx(value, abs=0.05)
+        assert got[0] == lang and got[1] == pytest.approx(score, abs=0.02)
+
+
+def test_many_languages_and_marks(spark):
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    kinds = {f"l{k:03d}": ["".join(rng.choice(letters) for _ in range(3)) for _ in range(4)] for k in range(140)}
+    text = lambda k, n: " ".join("".join(rng.choice(kinds[k]) for _ in range(2)) for _ in range(n))
+    docs = spark.createDataFrame([(i, text(k, 40), k) for i, k in enumerate(list(kinds) * 3)], "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    own = list(model.languages)
+    texts = [text(k, 30) for k in own] + [text(own[-1], 3000) + " " + text(own[0], 3000)]
+    got = langid.Labeller(model).label(texts)
+    assert sum(g[0] == k for g, k in zip(got, own, strict=False)) >= 0.95 * len(own)
+    spans = got[-1][2]
+    assert len(spans) < 8 and max(spans, key=lambda x: x[1] - x[0])[2] in (own[-1], own[0]) and (spans[0][2], spans[-1][2]) == (own[-1], own[0])
+    assert langid.find_words("e\u0301te\u0301 हिन्दी ก็") == ["été", "हिन्दी", "ก็"]
 
 
 def test_packing_respects_conflicts(spark, docs, rows):
