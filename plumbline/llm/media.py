@@ -188,7 +188,8 @@ def media(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs``, repeated ones included, with what its stored media gives when read.
 
     A null text is the empty text; its payload is 64 zero bytes. Null doc_ids keep their rows. An empty table
-    gives no rows; other columns, whatever their names, play no part.
+    gives no rows; other columns, whatever their names, play no part. A very long text is many chunks, put together in
+    one task.
     """
     lists = chunk_lists(docs)
     heads = lists.where("seq = 0").select("rid", "doc_id", "n_bytes", "whole")

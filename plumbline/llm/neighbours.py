@@ -206,7 +206,7 @@ def build(units: DataFrame, dim: int, k: int = K, settled: float = SETTLED) -> D
         back = _backward(edges, F.xxhash64(F.lit(step), "a", "b"))
         around = edges.select("a", "b").union(back).union(units.select("node", "node")).distinct()
         met = around.join(vectors, "b").groupBy("a").agg(F.collect_list(F.struct("b", "u")).alias("x"))
-        small_batches(units.sparkSession, 500)
+        small_batches(units.sparkSession)
         found = met.select("x").mapInArrow(compare, "a long, b long, d float").withColumn("old", F.lit(False))
         graph = cut(_top(edges.union(found), k), "graph")
         told = graph.agg(F.sum(F.size(F.filter("near", lambda x: ~x["old"]))), F.sum(F.size("near"))).first()
@@ -264,7 +264,7 @@ def walk(queries: DataFrame, graph: DataFrame, units: DataFrame, hold: int = HOL
         return pa.table([own.column("q"), own.column("qu"), pa.array([out], HELD)], names=["q", "qu", "x"])
 
     shape = "q long, qu array<float>, x array<struct<d:double,node:long,done:boolean>>"
-    small_batches(queries.sparkSession, 500)
+    small_batches(queries.sparkSession)
     held = cut(queries.select("q", "qu", "own").mapInArrow(enter, shape), "pool")
     edges = graph.select("a", F.explode("near").alias("x")).select("a", "x.b", "x.d")
     targets = cut(edges.select("a", "b").union(_backward(edges, "d")).distinct(), "targets")

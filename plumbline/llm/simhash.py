@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import cut, small_batches, table
+from plumbline.llm.common import cut, own_names, small_batches, table
 from plumbline.llm.graph import components
 
 SHINGLE = 3
@@ -193,7 +193,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     component_id is the smallest doc_id that links reach, the own one included. Null doc_ids keep their rows
     and count for no minimum (a component of null ids alone has null). Repeated rows stay repeated. An empty
-    table gives no rows. Other columns of ``docs``, whatever their names, play no part.
+    table gives no rows. Other columns of ``docs``, whatever their names, play no part. A very long text is read whole,
+    in one row.
     """
     prints = cut(fingerprints(docs, id_col, text_col, shingle), "prints")
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
@@ -205,13 +206,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of their component; columns as they are.
+    """The rows of ``docs`` whose doc_id is the smallest of their component; columns as they are, whatever their names.
 
-    ``found`` has (doc_id, component_id) of every row, by default those of ``near_duplicates``. Rows that repeat both doc_id and text stay once, and so does the text of a component whose ids are all null.
+    ``found`` has (doc_id, component_id) of every row, by default those of ``near_duplicates``. Rows that repeat both
+    doc_id and text stay once, and so does the text of a component whose ids are all null.
     """
     found = near_duplicates(docs) if found is None else found
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__doc")).distinct()
-    met = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__doc")), "left_semi")
+    (doc,) = own_names(docs, "doc")
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(doc)).distinct()
+    met = docs.join(kept, docs["doc_id"].eqNullSafe(F.col(doc)), "left_semi")
     return met.dropDuplicates(["doc_id", "text"])
 
 

@@ -204,7 +204,7 @@ def plant(docs: DataFrame, path: str | None = None) -> DataFrame:
             cols = [b.column(0), pa.array([t.total for t in trees], pa.int64()), pa.array([t.segments for t in trees], pa.int64()), pa.array([_leaves(t) for t in trees], LEAVES)]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "n_segments", "leaves"])
 
-    small_batches(docs.sparkSession, 500)
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, TREES)
 
 
@@ -233,7 +233,7 @@ def graft(trees: DataFrame, edits: DataFrame, path: str | None = None) -> DataFr
             cols = zip(*rows, strict=True) if rows else [[] for _ in kinds]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], names=NAMES)
 
-    small_batches(trees.sparkSession, 500)
+    small_batches(trees.sparkSession)
     kind = "array<struct<at:long,until:long,put:string>>"
     told = edits.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("edits").cast(kind).alias("edits"))
     return trees.join(told, "doc_id", "left").select("doc_id", "n_tokens", "n_segments", "leaves", "edits").mapInArrow(run, GRAFTED)

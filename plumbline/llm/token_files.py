@@ -8,8 +8,9 @@ A record file is a run of frames::
     check   u32                        masked CRC-32 of the payload
 
 The mask rotates a checksum right by 15 bits and adds 0xa282ead8, so that checksums of data holding checksums
-stay sound. The index file has 20 bytes for each frame: offset u64, payload bytes u64, ids u32; a reader that
-shuffles seeks by it. Files are named by range partition and hold ascending doc_ids; a task writes under names
+stay sound. The index file has 20 bytes for each frame: offset u64, payload bytes u64, ids u32, and the masked CRC-32
+of all of them at its end; a reader that shuffles seeks by it. Who reads a file holds what it got against the manifest's
+counts of documents, ids and bytes. Files are named by range partition and hold ascending doc_ids; a task writes under names
 of its own, and only files that a finished task reported are in the manifest, so a lost executor leaves at worst
 files that nothing names.
 """
@@ -39,7 +40,10 @@ MANIFEST = "part long, piece long, path string, docs long, ids long, bytes long"
 
 
 def masked(data: bytes) -> int:
-    crc = zlib.crc32(data)
+    return _mask(zlib.crc32(data))
+
+
+def _mask(crc: int) -> int:
     return ((crc >> 15 | crc << 17) + MASK_ADD) & 0xFFFFFFFF
 
 
@@ -70,10 +74,13 @@ def opened(path: str) -> tuple[fs.FileSystem, str]:
 
 
 def read_index(path: str) -> np.ndarray:
-    """The index of a record file: rows of offset, payload bytes and ids."""
+    """The index of a record file: rows of offset, payload bytes and ids. One that is damaged or cut short raises ValueError."""
     where, name = opened(path + ".idx")
     with where.open_input_stream(name) as f:
-        return np.frombuffer(f.read(), dtype=[("offset", "<u8"), ("bytes", "<u8"), ("ids", "<u4")])
+        data = f.read()
+    if len(data) % 20 != 4 or struct.unpack("<I", data[-4:])[0] != masked(data[:-4]):
+        raise ValueError(f"{path}: its index is damaged")
+    return np.frombuffer(data[:-4], dtype=[("offset", "<u8"), ("bytes", "<u8"), ("ids", "<u4")])
 
 
 def read_frames(path: str, rows: Iterable[tuple[int, int]] | None = None) -> Iterator[bytes]:
@@ -103,16 +110,19 @@ class _File:
         where, name = opened(self.path)
         where.create_dir(name.rpartition("/")[0], recursive=True)
         self.out, self.idx = where.open_output_stream(name), where.open_output_stream(name + ".idx")
-        self.docs = self.ids = self.bytes = 0
+        self.docs = self.ids = self.bytes = self.crc = 0
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
         data = frame(record(doc_id, ids))
-        self.idx.write(struct.pack("<QQI", self.bytes, len(data) - 16, len(ids) // 4))
+        row = struct.pack("<QQI", self.bytes, len(data) - 16, len(ids) // 4)
+        self.crc = zlib.crc32(row, self.crc)
+        self.idx.write(row)
         self.out.write(data)
         self.docs, self.ids, self.bytes = self.docs + 1, self.ids + len(ids) // 4, self.bytes + len(data)
 
     def close(self) -> tuple:
         self.out.close()
+        self.idx.write(struct.pack("<I", _mask(self.crc)))
         self.idx.close()
         return self.part, self.piece, self.path, self.docs, self.ids, self.bytes
 
@@ -121,7 +131,8 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
     """Encode ``docs`` and write their ids under ``folder`` in ascending doc_id order; returns the manifest.
 
     Null doc_ids come first, equal ones by their text's hash. Null and empty texts have the end id alone. An
-    empty table writes no file. Texts are dealt by range before they are encoded, so the order costs one
+    empty table writes no file. Other columns, whatever their names, play no part; a very long text is one frame.
+    Texts are dealt by range before they are encoded, so the order costs one
     shuffle of text, and the number of ranges follows the bytes of text.
     """
     spark, path = docs.sparkSession, path or default_path()
@@ -146,7 +157,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(shuffle_parts(spark), -(-size // PART_BYTES))
-    small_batches(spark, 500)
+    small_batches(spark)
     tie = F.xxhash64("text")
     dealt = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), tie).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie)
     return cut(dealt.mapInArrow(run, MANIFEST), "manifest")
@@ -156,24 +167,43 @@ READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document from its files; start counts the ids before it."""
+    """(doc_id, start, n_tokens, ids_crc32) of every document from its files; start counts the ids before it.
+
+    A damaged file, or one that holds other numbers of documents, ids or bytes than the manifest says, raises ValueError.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for path, docs, ids, size, first in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 cols: list[list] = [[], [], [], []]
+                start, got = first, 0
                 for payload in read_frames(path):
-                    doc_id, ids = parse(payload)
-                    for to, x in zip(cols, (doc_id, start, len(ids) // 4, zlib.crc32(ids)), strict=True):
+                    doc_id, own = parse(payload)
+                    for to, x in zip(cols, (doc_id, start, len(own) // 4, zlib.crc32(own)), strict=True):
                         to.append(x)
-                    start += len(ids) // 4
+                    start += len(own) // 4
+                    got += len(payload) + 16
+                if (len(cols[0]), start - first, got) != (docs, ids, size):
+                    raise ValueError(f"{path}: not what the manifest says")
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], names=[f.split()[0] for f in READ.split(", ")])
 
-    before = Window.orderBy("part", "piece").rowsBetween(Window.unboundedPreceding, -1)
-    placed = manifest.select("path", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("start"))
+    # ids before a file: within its range partition, and in all partitions before it, a row for each of those
+    order = Window.partitionBy("part").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    within = manifest.withColumn("within", F.coalesce(F.sum("ids").over(order), F.lit(0)))
+    placed = within.join(_before(manifest.groupBy("part").agg(F.sum("ids").alias("ids"))), "part").select("path", "docs", "ids", "bytes", (F.col("within") + F.col("before")).alias("start"))
     return placed.repartition(shuffle_parts(manifest.sparkSession), "path").mapInArrow(run, READ)
 
 
+def _before(parts: DataFrame, stretch: int = 4096) -> DataFrame:
+    """(part, before): the ids of all parts before each, by stretches of parts: one window holds a row a stretch, 250 for a million parts."""
+    dealt = parts.withColumn("stretch", F.floor(F.col("part") / stretch))
+    own = Window.partitionBy("stretch").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    inside = dealt.withColumn("inside", F.coalesce(F.sum("ids").over(own), F.lit(0)))
+    sums = dealt.groupBy("stretch").agg(F.sum("ids").alias("all"))
+    before = sums.select("stretch", F.coalesce(F.sum("all").over(Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("sum"))
+    return inside.join(before, "stretch").select("part", (F.col("inside") + F.col("sum")).alias("before"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op3: every document's ids, written, and read back from the files."""
     return read_token_files(write_token_files(table(spark, sf_dir, "documents"), fresh_path(spark, "token-ids")))
