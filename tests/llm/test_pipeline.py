@@ -36,6 +36,18 @@ def test_stages(spark, tmp_path):
     assert P.run(spark, str(tmp_path)).count() == docs.count()
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    rng = random.Random(13)
+    rows = [(i, " ".join("".join(rng.choice(["the", "ing", "and", "er", "on"]) for _ in range(3)) for _ in range(30)), "en", f"s{i}", 9) for i in range(6)]
+    names = ["n_lines", "n_dropped", "lang_pred", "lang_score", "lang_spans", "others", "__doc", "__th", "doc", "gone"]
+    docs = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("own") for c in names})
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and out.count() == 6, name
+        assert out.where(" or ".join(f"`{c}` <> 'own' or `{c}` is null" for c in names)).count() == 0, name
+    assert P.packed(spark, docs, "").count() == 6
+
+
 def test_near_copies_go(spark):
     rng = random.Random(12)
     words = lambda n: ["".join(rng.choice("abcdeghilmnorstu") for _ in range(6)) for _ in range(n)]
