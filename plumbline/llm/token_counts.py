@@ -1,16 +1,16 @@
 """Token counts (9) under edits: a segment tree over each document's pre-tokens.
 
 A segment is a pre-token of the tokenizer's pattern, so a document's count is the sum of its segments' counts. A document
-keeps a tree of sums over its segments: ``plant`` makes it a row of a table, ``graft`` joins an edits table to those rows and
-gives the new ones. An edit replaces the characters from ``start`` to ``end``. From the segment before the one it touches, text
-is split anew until a cut falls where one fell before, beyond the edit; those segments alone are encoded, the leaves that held
-them are replaced, and only sums above changed leaves are recomputed. Nothing else of the text is encoded again.
+keeps a tree of sums over leaves of ``LEAF`` segments: ``plant`` makes it a row of a table (characters, tokens and segments of
+each leaf, a few bytes for each hundred of text), ``graft`` joins texts and an edits table to those rows and gives the new
+ones. An edit replaces the characters from ``start`` to ``end``. From the leaf before the one it touches, text is split anew
+until a cut falls where a leaf ended before, beyond the edit; those leaves alone are encoded anew and replaced, and only sums
+above them are recomputed. Nothing else of the text is split or encoded again.
 """
 
 from __future__ import annotations
 
 import base64
-from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import cut, small_batches, table
 
 #: Segments of a leaf; leaves of a node.
-LEAF, FAN = 32, 8
+LEAF, FAN = 16, 8
 #: Segments kept in a worker's table before it starts again, and the letters of the longest one kept.
 KEPT_SEGMENTS, KEPT_LETTERS = 300_000, 48
 
@@ -66,35 +66,39 @@ def counter(path: str) -> Counter:
 
 
 class CountTree:
-    """The segments of a text in leaves, with sums of characters and tokens above them.
+    """The leaves of a text, with sums of characters and tokens above them; ``encoded`` counts the segments ever encoded for it.
 
-    A leaf is (its text, the lengths of its segments, their counts). ``encoded`` counts the segments that were ever encoded.
+    ``kept`` holds the (characters, tokens, segments) of each leaf if they are known; then nothing is encoded.
     """
 
-    def __init__(self, text: str, count: Counter, leaves: list[tuple[str, list[int], list[int]]] | None = None) -> None:
+    def __init__(self, text: str, count: Counter, kept: tuple[list[int], list[int], list[int]] | None = None) -> None:
         self.count, self.encoded = count, 0
-        self.leaves = self._made(count.split(text)) if leaves is None else list(leaves)
-        self.chars = [len(x) for x, _, _ in self.leaves]
-        self.tokens = [sum(c) for _, _, c in self.leaves]
+        if kept is None:
+            self.leaves, self.chars, self.tokens, self.sizes = self._made(count.split(text))
+        else:
+            self.chars, self.tokens, self.sizes = map(list, kept)
+            if sum(self.chars) != len(text):
+                raise ValueError("the tree is of another text")
+            ends = list(accumulate(self.chars))
+            self.leaves = [text[e - n : e] for e, n in zip(ends, self.chars, strict=True)]
         self.levels: list[tuple[list[int], list[int]]] = []
         self._raise(0)
 
     @property
     def segments(self) -> int:
-        return sum(len(c) for _, _, c in self.leaves)
+        return sum(self.sizes)
 
-    def _made(self, segments: list[str]) -> list[tuple[str, list[int], list[int]]]:
+    @property
+    def text(self) -> str:
+        return "".join(self.leaves)
+
+    def _made(self, segments: list[str]) -> tuple[list[str], list[int], list[int], list[int]]:
+        """(texts, characters, tokens, segments) of leaves."""
         counts = self.count(segments)
         self.encoded += len(segments)
-        return self._dealt(segments, counts)
-
-    @staticmethod
-    def _dealt(segments: list[str], counts: list[int]) -> list[tuple[str, list[int], list[int]]]:
-        out = []
-        for i in range(0, len(segments), LEAF):
-            own = segments[i : i + LEAF]
-            out.append(("".join(own), list(map(len, own)), counts[i : i + LEAF]))
-        return out
+        at = range(0, len(segments), LEAF)
+        texts = ["".join(segments[i : i + LEAF]) for i in at]
+        return texts, list(map(len, texts)), [sum(counts[i : i + LEAF]) for i in at], [len(segments[i : i + LEAF]) for i in at]
 
     def _raise(self, first: int) -> None:
         """Rebuild the sums above the leaves from leaf ``first`` on; nodes before it keep theirs."""
@@ -126,46 +130,30 @@ class CountTree:
         start = min(max(0, start), self.total_chars)
         end = min(max(start, end), self.total_chars)
         if not self.leaves:
-            self.leaves = self._made(self.count.split(new))
-            self.chars, self.tokens = [len(x) for x, _, _ in self.leaves], [sum(c) for _, _, c in self.leaves]
+            self.leaves, self.chars, self.tokens, self.sizes = self._made(self.count.split(new))
             self._raise(0)
             return self.total
         a, at = self._leaf_at(max(0, start - 1))
-        if a:  # so that the segment before is here too
+        if a:  # what stands before the edit may split otherwise with it
             a -= 1
             at -= self.chars[a]
-        b, _ = self._leaf_at(end)
+        b, far = self._leaf_at(end)[0], 1
         while True:
-            b = min(b + 1, len(self.leaves) - 1)
+            b, far = min(b + far, len(self.leaves) - 1), far * 2
             last = b == len(self.leaves) - 1
-            text = "".join([x for x, _, _ in self.leaves[a : b + 1]])
-            sizes = [n for _, own, _ in self.leaves[a : b + 1] for n in own]
-            counts = [n for _, _, own in self.leaves[a : b + 1] for n in own]
-            ends = list(accumulate(sizes))
-            lo = max(0, bisect_right(ends, max(0, start - at - 1)) - 1)  # the segment before the one touched
-            base = ends[lo - 1] if lo else 0
-            fresh = self.count.split(text[base : start - at] + new + text[end - at :])
+            text = "".join(self.leaves[a : b + 1])
+            fresh = self.count.split(text[: start - at] + new + text[end - at :])
             moved = len(new) - (end - start)
-            # old cuts beyond the edit, but for the last ones of what is read here, where the text behind could matter
-            old = {e + moved: i for i, e in enumerate(ends[: len(ends) if last else -2]) if e >= end - at}
-            place, met = base, None
-            for k, s in enumerate(fresh):
-                place += len(s)
-                if place >= start - at + len(new) and place in old:
-                    met = k + 1, old[place] + 1
-                    break
+            # where leaves ended beyond the edit, but for the last one read here: the text behind it could matter there
+            ends = list(accumulate(self.chars[a : b + 1]))
+            old = {e + moved: a + i for i, e in enumerate(ends[: None if last else -1]) if e > end - at or e == len(text)}
+            met = next(((k, old[e]) for k, e in enumerate(accumulate(map(len, fresh)), 1) if e in old), None)
             if met or last:
                 break
-        take, hi = met or (len(fresh), len(sizes))
-        fresh = fresh[:take]
-        before = [text[e - n : e] for e, n in zip(ends[:lo], sizes[:lo], strict=True)]
-        behind = [text[e - n : e] for e, n in zip(ends[hi:], sizes[hi:], strict=True)]
-        self.encoded += len(fresh)
-        made = self._dealt(before + fresh + behind, counts[:lo] + self.count(fresh) + counts[hi:])
-        same = len(made) == b + 1 - a
-        self.leaves[a : b + 1] = made
-        self.chars[a : b + 1] = [len(x) for x, _, _ in made]
-        self.tokens[a : b + 1] = [sum(c) for _, _, c in made]
+        take, b = met or (len(fresh), b)
+        texts, chars, tokens, sizes = self._made(fresh[:take])
+        same = len(texts) == b + 1 - a
+        self.leaves[a : b + 1], self.chars[a : b + 1], self.tokens[a : b + 1], self.sizes[a : b + 1] = texts, chars, tokens, sizes
         self._climb(a, b) if same else self._raise(a)
         return self.total
 
@@ -180,17 +168,17 @@ class CountTree:
         self.total_chars, self.total = (c[0], t[0]) if c else (0, 0)
 
 
-TREES = "doc_id long, n_tokens long, n_segments long, leaves array<struct<text:string,sizes:array<int>,counts:array<int>>>"
-GRAFTED = "doc_id long, n_tokens_before long, n_segments_before long, n_edits int, n_tokens long, n_segments long, segments_encoded long, leaves array<struct<text:string,sizes:array<int>,counts:array<int>>>"
-LEAVES = pa.list_(pa.struct([("text", pa.string()), ("sizes", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))]))
+TREE = "n_tokens long, n_segments long, chars array<int>, tokens array<int>, sizes array<int>"
+COUNTED = "doc_id long, n_tokens_before long, n_segments_before long, n_edits int, n_tokens long, n_segments long, segments_encoded long"
+INTS = pa.list_(pa.int32())
 
 
-def _leaves(tree: CountTree) -> list[dict]:
-    return [{"text": x, "sizes": n, "counts": c} for x, n, c in tree.leaves]
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
 
 
 def plant(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """The trees of ``docs`` (doc_id, text), a row each, for the caller to keep as a table.
+    """The trees of ``docs`` (doc_id, text), a row each, for the caller to keep as a table; th, a hash, tells a doc_id's texts apart.
 
     A null text is the empty text. Null doc_ids and repeated rows keep their rows; an empty table gives none; other columns,
     whatever their names, play no part. A very long text is one row.
@@ -200,46 +188,55 @@ def plant(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path)
         for b in batches:
-            trees = [CountTree(x.as_py() or "", count) for x in b.column(1)]
-            cols = [b.column(0), pa.array([t.total for t in trees], pa.int64()), pa.array([t.segments for t in trees], pa.int64()), pa.array([_leaves(t) for t in trees], LEAVES)]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "n_segments", "leaves"])
+            trees = [CountTree(x.as_py(), count) for x in b.column(1)]
+            cols = [b.column(0), b.column(2), pa.array([t.total for t in trees], pa.int64()), pa.array([t.segments for t in trees], pa.int64()), *(pa.array([getattr(t, c) for t in trees], INTS) for c in ("chars", "tokens", "sizes"))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "th", "n_tokens", "n_segments", "chars", "tokens", "sizes"])
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, TREES)
+    return _texts(docs).mapInArrow(run, f"doc_id long, th long, {TREE}")
 
 
-def graft(trees: DataFrame, edits: DataFrame, path: str | None = None) -> DataFrame:
-    """The rows of ``trees`` after ``edits`` (doc_id, edits), joined by doc_id.
+def graft(docs: DataFrame, trees: DataFrame, edits: DataFrame, path: str | None = None, grown: bool = True) -> DataFrame:
+    """A row for each row of ``docs`` with its counts before and after ``edits`` (doc_id, edits), by the kept ``trees``.
 
     ``edits.edits`` is an array of structs (at long, until long, put string), applied one after another, each to the
     text that those before it left; offsets count characters and are clipped to the text. A document without a row of edits
     stays as it is, and so does one without an id; a null edit or offset changes nothing and a null ``put`` deletes. Rows of
-    edits that share a doc_id are applied to copies of the tree. Only leaves that edits touch are encoded anew.
+    edits that share a doc_id are applied to copies of the document. A text that has no tree raises ValueError.
+    With ``grown`` the rows also hold the new text and the columns of its tree, to be kept in place of the old ones.
     """
     path = path or default_path()
+    more = f", text string, th long, {TREE.split(', ', 2)[2]}" if grown else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path)
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), LEAVES]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *([pa.string(), INTS, INTS, INTS] if grown else [])]
         for b in batches:
             rows = []
-            for doc_id, n, segments, leaves, own in zip(*(c.to_pylist() for c in b.columns[:3]), b.column(3), b.column(4).to_pylist(), strict=True):
-                tree, done = CountTree("", count, [(x["text"], x["sizes"], x["counts"]) for x in leaves.as_py()]), 0
+            for doc_id, text, chars, tokens, sizes, own in zip(b.column(0).to_pylist(), b.column(1), *(c.to_pylist() for c in b.columns[2:]), strict=True):
+                if chars is None:
+                    raise ValueError(f"document {doc_id}: no tree was planted for this text")
+                tree, done = CountTree(text.as_py(), count, (chars, tokens, sizes)), 0
+                n, segments = tree.total, tree.segments
                 for e in own or []:
                     if e is not None and e["at"] is not None and e["until"] is not None:
                         tree.edit(e["at"], e["until"], e["put"] or "")
                         done += 1
-                rows.append((doc_id, n, segments, done, tree.total, tree.segments, tree.encoded, _leaves(tree)))
+                rows.append((doc_id, n, segments, done, tree.total, tree.segments, tree.encoded, *((tree.text, tree.chars, tree.tokens, tree.sizes) if grown else ())))
             cols = zip(*rows, strict=True) if rows else [[] for _ in kinds]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], names=NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], names=names)
 
-    small_batches(trees.sparkSession)
-    kind = "array<struct<at:long,until:long,put:string>>"
-    told = edits.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("edits").cast(kind).alias("edits"))
-    return trees.join(told, "doc_id", "left").select("doc_id", "n_tokens", "n_segments", "leaves", "edits").mapInArrow(run, GRAFTED)
-
-
-NAMES = ["doc_id", "n_tokens_before", "n_segments_before", "n_edits", "n_tokens", "n_segments", "segments_encoded", "leaves"]
+    small_batches(docs.sparkSession)
+    schema = (COUNTED + more).replace(", th long", "")
+    names = [f.split()[0] for f in schema.split(", ")]
+    told = edits.select(F.col("doc_id").cast("long").alias("e"), F.col("edits").cast("array<struct<at:long,until:long,put:string>>").alias("edits"))
+    # trees and edits are small; texts, which are not, are shuffled once
+    work = trees.select(F.col("doc_id").alias("d"), F.col("th").alias("h"), "chars", "tokens", "sizes").dropDuplicates(["d", "h"])
+    work = work.join(told, F.col("d") == F.col("e"), "left").drop("e")
+    texts = _texts(docs)
+    both = texts.join(work, texts["doc_id"].eqNullSafe(F.col("d")) & (texts["th"] == F.col("h")), "left")
+    out = both.select("doc_id", "text", "chars", "tokens", "sizes", "edits").mapInArrow(run, schema)
+    return out.withColumn("th", F.xxhash64("text")) if grown else out
 
 
 def standard_edits(docs: DataFrame) -> DataFrame:
@@ -258,5 +255,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op9: counts of every whole document before and after the standard edits, from kept trees."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     trees = cut(plant(docs), "trees")
-    out = graft(trees, standard_edits(docs))
+    out = graft(docs, trees, standard_edits(docs), grown=False)
     return out.select("doc_id", F.col("n_tokens_before").alias("n_tokens"), F.col("n_segments_before").alias("n_segments"), "n_edits", F.col("n_tokens").alias("n_tokens_edited"), "segments_encoded")

@@ -222,7 +222,7 @@ def test_token_counts_under_edits():
     for big in (token_counts.CountTree("word " * 50_000, count), token_counts.CountTree("a1-" * 50_000, count)):
         before = big.encoded
         big.edit(1000, 1004, "x")
-        assert 0 < big.encoded - before < 12
+        assert 0 < big.encoded - before < 6 * token_counts.LEAF
 
 
 def test_kept_trees_take_edits(docs, rows):
@@ -231,20 +231,22 @@ def test_kept_trees_take_edits(docs, rows):
     told = {r["doc_id"]: r["edits"] for r in edits.collect()}
     count = token_counts.counter(token_counts.default_path())
     plain = lambda t: len(count.encoding.encode_ordinary(t))
-    want, grafted = [], token_counts.graft(trees, edits)
+    want, grafted = [], token_counts.graft(docs, trees, edits)
     for i, t, *_ in rows:
         new = t or ""
         for e in told.get(i, []):
             new = new[: e["at"]] + e["put"] + new[e["until"] :]
         want.append((str(i), plain(t or ""), len(count.split(t or "")), 3 if i is not None else 0, plain(new), len(count.split(new)), new))
-    text = lambda r: "".join(x["text"] for x in r["leaves"])
-    got = [(str(r["doc_id"]), r["n_tokens_before"], r["n_segments_before"], r["n_edits"], r["n_tokens"], r["n_segments"], text(r)) for r in grafted.collect()]
+    names = ("n_tokens_before", "n_segments_before", "n_edits", "n_tokens", "n_segments", "text")
+    got = [(str(r["doc_id"]), *(r[c] for c in names)) for r in grafted.collect()]
     assert sorted(got) == sorted(want)
-    assert all(r["segments_encoded"] < 60 for r in grafted.where("n_segments_before > 300").collect())
-    # the rows that come out are trees again
-    again = token_counts.graft(grafted.drop("n_tokens_before", "n_segments_before", "n_edits", "segments_encoded"), edits.limit(0))
-    assert sorted(r["n_tokens"] for r in again.collect()) == sorted(w[4] for w in want)
-    assert token_counts.graft(token_counts.plant(empty(docs)), edits).count() == 0
+    assert all(r["segments_encoded"] < 18 * token_counts.LEAF for r in grafted.where("n_segments_before > 300").collect())
+    # what comes out is texts and trees again
+    again = token_counts.graft(grafted.select("doc_id", "text"), grafted, edits.limit(0), grown=False).collect()
+    assert sorted(r["n_tokens"] for r in again) == sorted(w[4] for w in want) and not any(r["segments_encoded"] for r in again)
+    assert token_counts.graft(empty(docs), token_counts.plant(empty(docs)), edits).count() == 0
+    with pytest.raises(ValueError, match="another text"):
+        token_counts.CountTree("abc", count, ([2], [1], [1]))
 
 
 def test_line_templates_drop_recurring_lines(spark):
