@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import cut, small_batches, table
 
 #: Segments of a leaf; leaves of a node.
-LEAF, FAN = 16, 8
+LEAF, FAN = 64, 8
 #: Segments kept in a worker's table before it starts again, and the letters of the longest one kept.
 KEPT_SEGMENTS, KEPT_LETTERS = 300_000, 48
 
