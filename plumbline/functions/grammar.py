@@ -8,11 +8,20 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The patterns of the trace grammar.
+#: The patterns of the trace grammar, and the suffixes that make a name without a slash a path.
 ID = r"[A-Z][A-Za-z0-9.\-]*[0-9][A-Za-z0-9]*"
 PREFIX = r"^[A-Z][A-Za-z]*"
 FINAL_NUMBER = r"^(.*?)([0-9]+)$"
-CODE_SUFFIXES = (".py", ".md", ".toml", ".json", ".yaml", ".yml", ".txt", ".sh", ".cfg", ".ini")
+SPEC_FILE = r"[\w.-]+(?:/[\w.-]+)*\.md"
+ANCHOR = r"#[\w-]+"
+DASH = "[-–—]"
+STRING_PREFIX = "r|u|b|f|br|rb|fr|rf"
+CODE_SUFFIXES = (
+    ".py", ".md", ".txt", ".toml", ".yaml", ".yml", ".json", ".cfg", ".ini", ".rst", ".sh", ".bash", ".js", ".jsx", ".ts", ".tsx",
+    ".sql", ".c", ".h", ".cpp", ".hpp", ".cc", ".rs", ".go", ".rb", ".java", ".kt", ".css", ".html", ".xml", ".proto", ".lock",
+)
+#: The identifiers that a range is written out to; a longer one can't be expanded, which is a finding.
+RANGE_MOST = 1_000_000
 
 
 def valid_id(c: Column) -> Column:
@@ -34,12 +43,12 @@ def id_number(c: Column) -> Column:
 
 
 def expand_range(start: Column, end: Column) -> Column:
-    """The identifiers from start to end, or null unless both have one base and the numbers ascend.
+    """The identifiers from start to end, or null unless both have one base and the numbers ascend, by ``RANGE_MOST`` at most.
 
     Leading zeros of numbers are lost, as numbers are written anew.
     """
     base, a, b = id_base(start), id_number(start), id_number(end)
-    fine = a.isNotNull() & b.isNotNull() & (base == id_base(end)) & (a <= b)
+    fine = a.isNotNull() & b.isNotNull() & (base == id_base(end)) & (a <= b) & (b - a < RANGE_MOST)
     return F.when(fine, F.transform(F.sequence(a, b), lambda n: F.concat(base, n.cast("string"))))
 
 

@@ -149,16 +149,18 @@ def qualified_ranges(refs: DataFrame, firsts: DataFrame) -> tuple[DataFrame, Dat
 
 
 def bare_ids(refs: DataFrame, prefixes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(identifiers, findings): bare identifiers, those of ranges included, one row each.
+    """(identifiers, findings): bare identifiers, those of ranges included, one row each with their reference's first one.
 
     A range counts if either end has a prefix that the corpus knows; one that can't be expanded is a finding.
     """
     bare = refs.where(F.col("spec_path").isNull())
-    kept = ["path", "owner_symbol", "line", "ref_context"]
+    first = F.when(F.size("section_ids") > 0, F.col("section_ids")[0])
+    bare = bare.select("*", first.alias("first_id"))
+    kept = ["path", "owner_symbol", "line", "ref_context", "ord", "first_id"]
     single = bare.select(*kept, F.explode("section_ids").alias("section_id"))
-    each = bare.select(*kept, "ord", F.posexplode("ranges").alias("n", "r")).select(*kept, "ord", "n", "r.start", "r.end")
+    each = bare.select(*kept, F.posexplode("ranges").alias("n", "r")).select(*kept, "n", "r.start", "r.end")
     ends = each.select("*", F.explode(F.array_distinct(F.array(G.alpha_prefix(F.col("start")), G.alpha_prefix(F.col("end"))))).alias("prefix"))
-    heard = ends.join(prefixes, "prefix", "left_semi").select(*kept, "ord", "n", "start", "end").distinct()
+    heard = ends.join(prefixes, "prefix", "left_semi").select(*kept, "n", "start", "end").distinct()
     heard = heard.withColumn("ids", G.expand_range(F.col("start"), F.col("end")))
     message = F.concat(F.lit("cannot expand "), F.concat_ws("-", "start", "end"))
     bad = heard.where("ids is null").select(*finding("REF_RANGE_UNSUPPORTED", message, symbol="owner_symbol"))
@@ -182,13 +184,14 @@ def broad_refs(refs: DataFrame) -> DataFrame:
     return found.select(*finding("CODE_REF_BROAD", F.concat(F.lit("names a whole document: "), "spec_path"), symbol="owner_symbol"))
 
 
-def special_targets(refs: DataFrame, bare_edges: DataFrame, profile: Profile) -> DataFrame:
-    """Once for a reference and file of a planned or exploratory specification that it leads to."""
+def special_targets(refs: DataFrame, bare: DataFrame, sections: DataFrame, profile: Profile) -> DataFrame:
+    """Once for a reference and file of a planned or exploratory specification that it leads to, with the reference's first
+    identifier, if it has one; ``bare`` are the identifiers of bare references."""
     target = G.spec_class(F.col("spec_path"), profile.planned_globs, profile.exploratory_globs)
     first = F.when(F.size("section_ids") > 0, F.col("section_ids")[0])
     direct = refs.select("path", "line", F.col("owner_symbol").alias("symbol"), "spec_path", first.alias("section_id"))
-    through = bare_edges.select(F.col("code_path").alias("path"), "line", F.col("code_symbol").alias("symbol"), "spec_path", "section_id")
-    through = through.groupBy("path", "line", "symbol", "spec_path").agg(F.min("section_id").alias("section_id"))
+    once = sections.groupBy("section_id").agg(F.count("*").alias("n"), F.min("path").alias("spec_path")).where("n = 1").select("section_id", "spec_path")
+    through = bare.join(once, "section_id").select("path", "line", F.col("owner_symbol").alias("symbol"), "spec_path", F.col("first_id").alias("section_id"), "ord").distinct()
     every = direct.unionByName(through.select(*direct.columns)).withColumn("class", target)
     out = []
     for name, code in (("planned", "CODE_REF_PLANNED_SPEC"), ("exploratory", "CODE_REF_EXPLORATORY_SPEC")):
@@ -346,7 +349,7 @@ def resolve(corpus: Corpus, profile: Profile) -> Resolved:
     binds, inv_findings = invariant_findings(corpus.invariants, corpus.sections, corpus.binds, profile)
     findings = union([
         *([corpus.findings] if corpus.findings is not None else []), duplicate_sections(corpus.sections), missing_files(scoped, corpus.spec_files),
-        sec_findings, anc_findings, rng_findings, bare_bad, bare_findings, broad_refs(here), special_targets(here, bare_edges, profile),
+        sec_findings, anc_findings, rng_findings, bare_bad, bare_findings, broad_refs(here), special_targets(here, ids, corpus.sections, profile),
         ladder_findings, map_findings, reciprocal(corpus.sections, corpus.mappings, edges, profile), inv_findings,
     ])
     return Resolved(edges, findings.select(*[c.split()[0] for c in FINDINGS.split(", ")]), binds)

@@ -121,16 +121,17 @@ def decide(issues: DataFrame, given: Suppressions, policy: Policy) -> DataFrame:
     return met.withColumn("reason", reason).drop("__s", "__sm", "__f", "__fm", "__m", "__x")
 
 
-def _hits(issues: DataFrame, given: Suppressions) -> DataFrame:
-    """(rule) of the rules that fit a finding by pattern and code, whether it can be suppressed or not."""
+def _hits(issues: DataFrame, given: Suppressions, kept: list[str] = ()) -> DataFrame:
+    """(rule, kind, place) of the rules that fit a finding by pattern and code, whether it can be suppressed or not, each once;
+    with columns ``kept`` of the findings, each once for every finding."""
     tried = []
     for rules, kind in ((given.file_rules, "file"), (given.section_rules, "section")):
         for p, i, codes in _patterns(rules):
             fits = G.globs(F.col("path"), [p, "*/" + p]) if kind == "file" else G.globs(F.concat_ws("::", "path", "section_id"), [p])
             tried.append(F.when(fits & F.col("code").isin(codes), F.struct(F.lit(p).alias("rule"), F.lit(kind).alias("kind"), F.lit(i).alias("place"))))
     if not tried:
-        return issues.select(F.lit("").alias("rule"), F.lit("").alias("kind"), F.lit(0).alias("place")).limit(0)
-    return issues.select(F.explode(F.filter(F.array(*tried), lambda x: x.isNotNull())).alias("h")).select("h.*").distinct()
+        return issues.select(*kept, F.lit("").alias("rule"), F.lit("").alias("kind"), F.lit(0).alias("place")).limit(0)
+    return issues.select(*kept, F.explode(F.filter(F.array(*tried), lambda x: x.isNotNull())).alias("h")).select(*kept, "h.*").distinct()
 
 
 def unused(issues: DataFrame, given: Suppressions) -> DataFrame:
@@ -143,22 +144,23 @@ def unused(issues: DataFrame, given: Suppressions) -> DataFrame:
 
 
 def unsuppressible(issues: DataFrame, given: Suppressions, policy: Policy) -> DataFrame:
-    """A finding for each rule that fits one of a level that can't be suppressed, and one for each such finding
-    that a marker names by its code, wherever that marker stands: the first by path."""
+    """A finding for each rule that fits one of a level that can't be suppressed, and one for each such finding that a
+    marker names by its code, wherever that marker stands: at the first of the files' markers, then the sections' (named
+    ``path::section_id``), then the modules', then the statements' with their line."""
     from plumbline.operators.resolve import finding
 
     hard = issues.where(~F.col("severity").isin(list(policy.suppressible)))
-    tried = []
-    for rules, kind in ((given.file_rules, "file"), (given.section_rules, "section")):
-        for p, _, codes in _patterns(rules):
-            fits = G.globs(F.col("path"), [p, "*/" + p]) if kind == "file" else G.globs(F.concat_ws("::", "path", "section_id"), [p])
-            tried.append(F.when(fits & F.col("code").isin(codes), F.lit(p)))
-    out = []
-    if tried:
-        hits = hard.select("code", F.explode(F.filter(F.array(*tried), lambda x: x.isNotNull())).alias("rule"))
-        out.append(hits.select(*finding("SUPPRESSION_UNSUPPRESSIBLE_CODE", F.concat(F.col("code"), F.lit(" can't be suppressed at its level")), "rule", F.lit(None))))
-    marks = given.sections.select("path", "code").union(given.files.select("path", "code")).union(given.modules.select("path", "code")).union(given.spans.select("path", "code"))
-    first = marks.where("code is not null").groupBy("code").agg(F.min("path").alias("at"))
-    met = hard.select("code").join(first, "code")
-    out.append(met.select(*finding("SUPPRESSION_UNSUPPRESSIBLE_CODE", F.concat(F.col("code"), F.lit(" can't be suppressed at its level")), "at", F.lit(None))))
-    return out[0] if len(out) == 1 else out[0].unionByName(out[1])
+    message = F.concat(F.col("code"), F.lit(" can't be suppressed at its level"))
+    hits = _hits(hard.withColumn("__id", F.monotonically_increasing_id()), given, ["__id", "code"])
+    none = F.lit(None).cast("long")
+    marks = [
+        given.files.select("code", F.lit(0).alias("rank"), F.col("path").alias("at"), none.alias("line")),
+        given.sections.select("code", F.lit(1), F.concat_ws("::", "path", "section_id"), none),
+        given.modules.select("code", F.lit(2), "path", none),
+        given.spans.select("code", F.lit(3), "path", F.col("start_line").cast("long")),
+    ]
+    every = marks[0].union(marks[1]).union(marks[2]).union(marks[3]).where("code is not null")
+    first = every.groupBy("code").agg(F.min(F.struct("rank", "at", "line")).alias("m"))
+    met = hard.select("code").join(first, "code").select("code", "m.at", "m.line")
+    told = lambda rows, at, line: rows.select(*finding("SUPPRESSION_UNSUPPRESSIBLE_CODE", message, at, line))
+    return told(hits, "rule", F.lit(None)).unionByName(told(met, "at", "line"))

@@ -160,16 +160,15 @@ def broad_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.broad_refs(refs).select("path", "line", "symbol")
 
 
-@query(f"WITH {BACKLINKS}, t AS (SELECT path AS code_path, owner_symbol, line, 'docs/specs/Suppliers.md' AS spec FROM o WHERE m IN (0, 3) UNION SELECT path, owner_symbol, line, 'docs/specs/A-planned.md' FROM o WHERE m = 6 "
-       "UNION SELECT code_path, owner_symbol, line, path FROM backlinks JOIN o USING (owner_symbol, line) WHERE m IN (1, 2, 7)) "
-       "SELECT CASE WHEN spec LIKE '%A-planned.md' THEN 'CODE_REF_PLANNED_SPEC' ELSE 'CODE_REF_EXPLORATORY_SPEC' END AS code, code_path AS path, owner_symbol AS symbol, line FROM t WHERE spec LIKE 'docs/specs/A-%' OR spec LIKE 'docs/specs/Supp%'".replace("SELECT code_path, owner_symbol, line, path FROM backlinks JOIN o USING (owner_symbol, line)", "SELECT b.code_path, b.owner_symbol, b.line, b.path FROM backlinks b JOIN o ON o.owner_symbol = b.owner_symbol"))
+@query(f"WITH {BACKLINKS}, t AS (SELECT path AS code_path, owner_symbol, line, 'docs/specs/Suppliers.md' AS spec, CASE WHEN m = 0 THEN 'PRT-' || (c % 150) END AS section_id FROM o WHERE m IN (0, 3) UNION ALL SELECT path, owner_symbol, line, 'docs/specs/A-planned.md', NULL FROM o WHERE m = 6 "
+       "UNION SELECT b.code_path, b.owner_symbol, b.line, b.path, CASE m WHEN 7 THEN CASE WHEN b.section_id IS NULL THEN NULL ELSE 'N-1' END ELSE 'PRT-' || c END FROM backlinks b JOIN o ON o.owner_symbol = b.owner_symbol WHERE m IN (1, 2, 7)) "
+       "SELECT CASE WHEN spec LIKE '%A-planned.md' THEN 'CODE_REF_PLANNED_SPEC' ELSE 'CODE_REF_EXPLORATORY_SPEC' END AS code, code_path AS path, owner_symbol AS symbol, line, section_id FROM t WHERE spec LIKE 'docs/specs/A-%' OR spec LIKE 'docs/specs/Supp%'")
 def planned_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs = cut(T.refs(spark, sf_dir), "refs")
     sections = T.sections(spark, sf_dir)
     prefixes = R.known_prefixes(sections)
     here = R.present(R.qualified_in_scope(refs, T.PROFILE), T.spec_files(spark, sf_dir))
-    edges, _ = R.bare_lookup(R.bare_ids(refs, prefixes)[0], sections, prefixes)
-    return R.special_targets(here, edges, T.PROFILE).select("code", "path", "symbol", "line")
+    return R.special_targets(here, R.bare_ids(refs, prefixes)[0], sections, T.PROFILE).select("code", "path", "symbol", "line", "section_id")
 
 
 # --- mappings ---------------------------------------------------------------------------------------------
@@ -255,13 +254,10 @@ def bind_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {INVARIANTS}, {BINDS}, one AS (SELECT invariant_id, any_value(tier) AS tier, any_value(line) AS line FROM invariants GROUP BY invariant_id HAVING count(*) = 1) SELECT o.invariant_id, tier AS context, o.line FROM one o ANTI JOIN bound b ON b.invariant_id = o.invariant_id")
 def invariant_untested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, found = R.invariant_findings(T.invariants(spark, sf_dir), T.sections(spark, sf_dir), T.binds(spark, sf_dir).where("test_symbol <> 'test_1'").where("marker_line > 150"), T.PROFILE)
+    _, found = R.invariant_findings(T.invariants(spark, sf_dir), T.sections(spark, sf_dir), T.binds(spark, sf_dir), T.PROFILE)
     return found.where("code = 'INVARIANT_UNTESTED'").select("invariant_id", "context", "line")
 
 
-ORACLES["invariant_untested"] = ORACLES["invariant_untested"].replace("bound AS (SELECT invariant_id, test_path, test_symbol, min(line) AS line FROM binds WHERE test_path LIKE 'tests/%'", "bound AS (SELECT invariant_id, test_path, test_symbol, min(line) AS line FROM binds WHERE test_path LIKE 'tests/%' AND k % 4 <> 1 AND line > 150")
-
-
 @query(f"WITH {BINDS} SELECT invariant_id, test_path, test_symbol, min(line) AS marker_line FROM binds GROUP BY ALL")
 def bind_dedupe_min(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.unique_binds(T.binds(spark, sf_dir)).select("invariant_id", "test_path", "test_symbol", "marker_line")
@@ -371,11 +367,11 @@ def issue_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- packets ----------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {BACKLINKS}, {MAP_EDGES}, every AS (SELECT path, section_id, code_path, owner_symbol FROM backlinks UNION ALL SELECT path, section_id, code_path, NULL FROM map_edges WHERE false), "
-       "d AS (SELECT DISTINCT path, section_id, code_path, owner_symbol AS code_symbol FROM every), r AS (SELECT *, row_number() OVER (PARTITION BY path, section_id ORDER BY code_path, code_symbol) AS place, count(*) OVER (PARTITION BY path, section_id) AS n FROM d) "
+@query(f"WITH {BACKLINKS}, {MAP_EDGES}, every AS (SELECT path, section_id, code_path, owner_symbol FROM backlinks UNION ALL SELECT m.path, m.section_id, m.code_path, CASE WHEN x.k % 6 = 0 THEN 'load_' || (x.k % 40) END FROM map_edges m JOIN mappings x ON x.spec_path = m.path AND x.section_id = m.section_id), "
+       "d AS (SELECT DISTINCT path, section_id, code_path, owner_symbol AS code_symbol FROM every), r AS (SELECT *, row_number() OVER (PARTITION BY path, section_id ORDER BY code_path, code_symbol NULLS FIRST) AS place, count(*) OVER (PARTITION BY path, section_id) AS n FROM d) "
        "SELECT path AS spec_path, section_id, code_path, code_symbol, place::INT AS place, greatest(n - 8, 0)::BIGINT AS omitted FROM r WHERE place <= 8")
 def owner_top8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = _edges(spark, sf_dir).where("kind = 'backlink'")
+    edges = _edges(spark, sf_dir)
     order = F.struct("code_path", "code_symbol")
     return packets.capped(edges.select("spec_path", "section_id", "code_path", "code_symbol").distinct(), ["spec_path", "section_id"], order, packets.OWNERS)
 
@@ -497,15 +493,9 @@ def class_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.class_counts(rows).where("kind = 'section'").select("classification", "n")
 
 
-@query("SELECT page_id, len(regexp_extract_all(html, '<!--.*?-->', 0, 's'))::BIGINT AS n_comments FROM pages")
-def html_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return p.select("page_id", F.size(F.regexp_extract_all("html", F.lit(r"(?s)<!--.*?-->"), 0)).cast("long").alias("n_comments"))
-
-
-@query("SELECT doc_id, len(l)::BIGINT AS n_lines, sha256(text) AS text_sha256 FROM (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents WHERE text <> '' AND NOT suffix(text, chr(10)))")
+@query("SELECT doc_id, (CASE WHEN text = '' THEN 0 WHEN suffix(text, chr(10)) THEN len(l) - 1 ELSE len(l) END)::BIGINT AS n_lines, sha256(text) AS text_sha256 FROM (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents)")
 def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text <> '' and not endswith(text, '\n')")
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return d.select("doc_id", F.size(G.lines(F.col("text"))).cast("long").alias("n_lines"), F.sha2("text", 256).alias("text_sha256"))
 
 
