@@ -75,7 +75,7 @@ INVARIANTS = """invariants AS (
   UNION ALL SELECT 'INV.S.' || min(s_suppkey), 'required', 'src/m' || s_nationkey || '.py', 1 FROM supplier GROUP BY s_nationkey
 )"""
 BINDS = """binds AS (
-  SELECT 'INV.S.' || (c_custkey % 200) AS invariant_id, CASE WHEN c_nationkey = 7 THEN 'src/not_a_test.py' ELSE 'tests/test_' || c_nationkey || '.py' END AS test_path,
+  SELECT 'INV.S.' || (c_custkey % 200 - CASE WHEN c_custkey % 200 % 7 = 3 THEN 1 ELSE 0 END) AS invariant_id, CASE WHEN c_nationkey = 7 THEN 'src/not_a_test.py' ELSE 'tests/test_' || c_nationkey || '.py' END AS test_path,
     'test_' || (c_custkey % 4) AS test_symbol, (c_custkey % 400 + 1)::BIGINT AS line, c_custkey AS k FROM customer
 ), bound AS (SELECT invariant_id, test_path, test_symbol, min(line) AS line FROM binds WHERE test_path LIKE 'tests/%' GROUP BY ALL)"""
 

@@ -124,13 +124,18 @@ def invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def binds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One for each customer; ids beyond the suppliers are declared nowhere, customers of nation 7 bind outside tests."""
+    """One for each customer; ids beyond the suppliers are declared nowhere, customers of nation 7 bind outside tests.
+
+    Nobody binds an id whose number leaves 3 when divided by 7: those customers bind the id before it.
+    """
     c = _read(spark, sf_dir, "customer", "c_custkey", "c_nationkey")
     key, nation = F.col("c_custkey"), F.col("c_nationkey")
     path = F.when(nation == 7, "src/not_a_test.py").otherwise(_text("tests/test_", nation, ".py"))
     line = (F.pmod(key, F.lit(400)) + 1).cast("long")
+    bound = F.pmod(key, F.lit(200))
+    bound = bound - F.when(F.pmod(bound, F.lit(7)) == 3, 1).otherwise(0)
     return c.select(
-        _text("INV.S.", F.pmod(key, F.lit(200))).alias("invariant_id"), path.alias("test_path"), _text("test_", F.pmod(key, F.lit(4))).alias("test_symbol"),
+        _text("INV.S.", bound).alias("invariant_id"), path.alias("test_path"), _text("test_", F.pmod(key, F.lit(4))).alias("test_symbol"),
         line.alias("marker_line"), line.alias("start_line"), (line + 5).alias("end_line"), _ord(path, key),
     )
 
