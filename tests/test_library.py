@@ -373,3 +373,22 @@ def test_partitions_change_nothing(spark, checked):
     rows = checked.issues
     issues = {n: sorted(map(str, P.histogram(rows.repartition(n)).collect())) for n in (1, 4, 37)}
     assert issues[1] == issues[4] == issues[37]
+
+
+def test_brackets_inside_brackets_and_spaced_ranges():
+    from plumbline.functions.line_refs import extract
+
+    told = lambda line: [(r["spec_path"], r["section_ids"], [(x["start"], x["end"]) for x in r["ranges"]]) for r in extract(line)]
+    assert told("[B-2, docs/a.md [A-1], C-3]") == [("docs/a.md", ["A-1"], [])]
+    assert told("[C-1 - C-3]") == [] and told("[C-1-C-3] [A.1–A.4, B2]") == [(None, ["B2"], [("C-1", "C-3"), ("A.1", "A.4")])]
+    assert told("docs/a.md [A-1]-[A-3], [B-1] x [C-1]--[C-2]-[C-3]") == [("docs/a.md", ["B-1"], [("A-1", "A-3")]), (None, ["C-3"], [("C-1", "C-2")])]
+    assert told("a.md [A-1]––[A-2]-[A-3]") == [("a.md", ["A-1"], []), (None, ["A-2", "A-3"], [])]
+
+
+def test_suffixes_and_huge_ranges(spark):
+    from plumbline.functions import grammar
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("main.rs", "A-1", "A-99999999999"), ("schema.sql", "A-1", "A-3"), ("Runtime.save", "A-3", "A-1")], "t string, a string, b string")
+    got = df.select(grammar.token_kind(F.col("t")).alias("k"), grammar.expand_range(F.col("a"), F.col("b")).alias("ids")).collect()
+    assert [tuple(r) for r in got] == [("path", None), ("path", ["A-1", "A-2", "A-3"]), ("symbol", None)]
