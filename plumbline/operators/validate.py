@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import grammar as G
-from plumbline.plans.registry import Policy
 
 #: What a result may say of a packet.
 CLASSES = {
@@ -127,34 +126,3 @@ def shown_invariant_ranges(packets: DataFrame) -> DataFrame:
     every = F.filter(F.concat("targets", "binding_tests"), lambda o: o["snippet"] != "")
     own = F.array(F.struct(F.col("declaration.path").alias("path"), F.col("declaration.line").cast("long").alias("start"), F.col("declaration.line").cast("long").alias("end")))
     return packets.select("packet_id", "kind", F.concat(own, F.transform(every, of)).alias("shown"))
-
-
-def issue_records(rows: DataFrame, policy: Policy) -> DataFrame:
-    """``rows`` (JSON text in ``value``) with ``error`` for findings that are not as a report writes them."""
-    from plumbline.plans.registry import registry_table
-
-    j = F.try_parse_json(F.col("value"))
-    met = rows.withColumn("__v", j)
-    v = F.col("__v")
-    known = registry_table(rows.sparkSession, policy).withColumnRenamed("code", "__code")
-    met = met.withColumn("__c", text(v, "$.code")).join(F.broadcast(known), F.col("__c") == F.col("__code"), "left")
-    contexts = {d.code: list(d.contexts) for d in policy.registry.values()}
-    allowed = F.create_map(*[x for c, xs in contexts.items() if xs for x in (F.lit(c), F.array(*[F.lit(y) for y in xs]))])
-    line = json_kind(v, "$.line")
-    ctx = json_kind(v, "$.context")
-    rules = [
-        (~F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)), "not a JSON object"),
-        (F.col("__code").isNull(), "unknown code"),
-        (~F.coalesce(text(v, "$.severity").isin("error", "warning", "info"), F.lit(False)), "unknown severity"),
-        (~filled(text(v, "$.path")), "path is missing"),
-        (line.isNotNull() & (line != "VOID") & ~F.coalesce(exact_long(F.col("value"), "line") >= 1, F.lit(False)), "line is not a positive integer"),
-        (~filled(text(v, "$.message")), "message is missing"),
-        (ctx.isNotNull() & (ctx != "VOID") & ~F.coalesce(F.array_contains(F.try_element_at(allowed, F.col("__c")), text(v, "$.context")), F.lit(False)), "the code has no such context"),
-        (F.coalesce(text(v, "$.short_code") != F.col("short_code"), F.lit(False)), "another code's short code"),
-    ]
-    return met.select(*rows.columns, first_error(rules).alias("error"))
-
-
-def dangling_edges(edges: DataFrame, sections: DataFrame) -> DataFrame:
-    """Edges to sections that the report doesn't have; a valid report has none."""
-    return edges.join(sections.select(F.col("path").alias("spec_path"), "section_id").distinct(), ["spec_path", "section_id"], "left_anti")

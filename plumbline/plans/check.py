@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import textwrap
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -78,46 +80,66 @@ def packets(checked: Checked, profile: Profile, kind: str = "all") -> tuple[Data
 ISSUE = ["code", "severity", "path", "line", "message", "section_id", "symbol", "short_code", "context", "default_severity", "invariant_id"]
 
 
-def report(checked: Checked, profile: Profile, repo: str = ".", show_suppressed: bool = False) -> dict:
-    """The report as plain values, in its order. This is a sink: it gathers what a reader is to see."""
-    rows = lambda df, columns: [{c: r[c] for c in columns} for r in (x.asDict(recursive=True) for x in df.toLocalIterator())]
+def counts(checked: Checked) -> dict[str, int]:
     c = checked.corpus
-    issues = rows(checked.issues.orderBy(*P.report_order()), ISSUE)
-    refs = rows(c.refs.orderBy("ord"), ["path", "owner_symbol", "line", "raw", "spec_path", "section_ids", "anchor", "ranges", "ref_context"])
-    for r in refs:
-        r["ranges"] = [[x["start"], x["end"]] for x in r["ranges"]]
+    return P.summary(c.sections, c.refs, c.mappings, c.invariants, checked.issues).first().asDict()
+
+
+def _lists(checked: Checked, show_suppressed: bool) -> dict[str, tuple[DataFrame, list[str]]]:
+    """The lists of a report in their order (fixed values: names and fields), each a sorted relation."""
+    c, order = checked.corpus, P.report_order()
+    edges = checked.edges.orderBy("spec_path", "section_id", "kind", "code_path", F.coalesce("code_symbol", F.lit("")), "line")
     out = {
-        "profile": profile.name, "repo_root": repo, "summary": {},
-        "spec_sections": rows(c.sections.orderBy("ord"), ["path", "section_id", "title", "line", "anchor", "kind"]), "code_refs": refs,
-        "spec_mappings": rows(c.mappings.orderBy("ord"), ["spec_path", "section_id", "line", "target", "kind", "target_path", "target_symbol"]),
-        "edges": rows(checked.edges.orderBy("spec_path", "section_id", "kind", "code_path", F.coalesce("code_symbol", F.lit("")), "line"), ["kind", "spec_path", "section_id", "code_path", "code_symbol", "line"]),
-        "invariants": rows(c.invariants.orderBy("invariant_id", "path", "line", "ord"), ["invariant_id", "statement", "tier", "declaration_kind", "path", "line", "owner_symbol", "section_id"]),
-        "binds": rows(checked.binds.orderBy("invariant_id", "test_path", "test_symbol", "marker_line"), ["invariant_id", "test_path", "test_symbol", "marker_line", "start_line", "end_line"]),
-        "issues": issues,
+        "spec_sections": (c.sections.orderBy("ord"), ["path", "section_id", "title", "line", "anchor", "kind"]),
+        "code_refs": (c.refs.orderBy("ord").withColumn("ranges", F.transform("ranges", lambda x: F.array(x["start"], x["end"]))), ["path", "owner_symbol", "line", "raw", "spec_path", "section_ids", "anchor", "ranges", "ref_context"]),
+        "spec_mappings": (c.mappings.orderBy("ord"), ["spec_path", "section_id", "line", "target", "kind", "target_path", "target_symbol"]),
+        "edges": (edges, ["kind", "spec_path", "section_id", "code_path", "code_symbol", "line"]),
+        "invariants": (c.invariants.orderBy("invariant_id", "path", "line", "ord"), ["invariant_id", "statement", "tier", "declaration_kind", "path", "line", "owner_symbol", "section_id"]),
+        "binds": (checked.binds.orderBy("invariant_id", "test_path", "test_symbol", "marker_line"), ["invariant_id", "test_path", "test_symbol", "marker_line", "start_line", "end_line"]),
+        "issues": (checked.issues.orderBy(*order), ISSUE),
     }
-    n = lambda s: sum(i["severity"] == s for i in issues)
-    out["summary"] = {"spec_sections": len(out["spec_sections"]), "code_refs": len(refs), "spec_mappings": len(out["spec_mappings"]), "invariants": len(out["invariants"]), "errors": n("error"), "warnings": n("warning"), "infos": n("info")}
     if show_suppressed:
-        out["suppressed_issues"] = rows(checked.suppressed.orderBy(*P.report_order()), [*ISSUE, "reason"])
+        out["suppressed_issues"] = (checked.suppressed.orderBy(*order), [*ISSUE, "reason"])
     return out
 
 
-def as_json(told: dict) -> str:
-    return json.dumps(told, indent=2) + "\n"
+def _rows(df: DataFrame, columns: list[str]) -> Iterator[dict]:
+    return (r.asDict(recursive=True) for r in df.select(*columns).toLocalIterator())
 
 
-def as_text(told: dict) -> str:
-    """Counts, then findings by severity, then what was suppressed."""
-    s = told["summary"]
+def report(checked: Checked, profile: Profile, repo: str = ".", show_suppressed: bool = False) -> dict:
+    """The report as plain values, for callers that want all of it at once; commands write it as it comes."""
+    head = {"profile": profile.name, "repo_root": repo, "summary": counts(checked)}
+    return head | {name: list(_rows(*x)) for name, x in _lists(checked, show_suppressed).items()}
+
+
+def json_report(checked: Checked, profile: Profile, repo: str = ".", show_suppressed: bool = False) -> Iterator[str]:
+    """The report as indented JSON in pieces; the driver holds a partition's rows at a time."""
+    deep = lambda x, by: textwrap.indent(json.dumps(x, indent=2), by).strip()
+    yield f'{{\n  "profile": {json.dumps(profile.name)},\n  "repo_root": {json.dumps(repo)},\n  "summary": {deep(counts(checked), "  ")}'
+    for name, x in _lists(checked, show_suppressed).items():
+        opened = False
+        for row in _rows(*x):
+            yield ("," if opened else f',\n  "{name}": [') + "\n    " + deep(row, "    ")
+            opened = True
+        yield "\n  ]" if opened else f',\n  "{name}": []'
+    yield "\n}\n"
+
+
+def text_report(checked: Checked, profile: Profile, show_suppressed: bool = False) -> Iterator[str]:
+    """Counts, then findings by severity, then what was suppressed, in pieces."""
+    s = counts(checked)
     place = lambda i: i["path"] + (f":{i['line']}" if i["line"] else "")
-    out = [f"profile {told['profile']}", ", ".join(f"{k.replace('_', ' ')} {v}" for k, v in s.items())]
-    for severity in ("error", "warning", "info"):
-        own = [i for i in told["issues"] if i["severity"] == severity]
-        if own:
-            out += ["", f"{severity} ({len(own)})", *(f"  {i['short_code'] or '-'} {i['code']} {place(i)} {i['message']}" for i in own)]
-    if told.get("suppressed_issues"):
-        out += ["", f"suppressed ({len(told['suppressed_issues'])})", *(f"  {i['code']} {place(i)} [{i['reason']}]" for i in told["suppressed_issues"])]
-    return "\n".join(out) + "\n"
+    yield f"profile {profile.name}\n" + ", ".join(f"{k.replace('_', ' ')} {v}" for k, v in s.items()) + "\n"
+    at = None
+    for i in _rows(*_lists(checked, False)["issues"]):
+        if i["severity"] != at:
+            at = i["severity"]
+            yield f"\n{at} ({s[at + 's']})\n"
+        yield f"  {i['short_code'] or '-'} {i['code']} {place(i)} {i['message']}\n"
+    if show_suppressed and (n := checked.suppressed.count()):
+        yield f"\nsuppressed ({n})\n"
+        yield from (f"  {i['code']} {place(i)} [{i['reason']}]\n" for i in _rows(*_lists(checked, True)["suppressed_issues"]))
 
 
 def packet_lines(section: DataFrame | None, invariant: DataFrame | None):

@@ -6,7 +6,7 @@ import json
 import os
 import re
 import tomllib
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 from pathlib import Path
 
 from plumbline.operators.resolve import Profile
@@ -188,6 +188,18 @@ def contained(profile: Profile) -> None:
             raise ConfigError(f"test root {t} is outside the code roots")
 
 
+def overridden(profile: Profile, name: str | None, roots: dict[str, list[str]]) -> Profile:
+    """The profile with roots from the command line; code roots alone leave the test roots that lie in them."""
+    if name is not None and name != profile.name:
+        raise ConfigError(f"unknown profile {name}")
+    inside = lambda t, codes: any(t == c or t.startswith(c.rstrip("/") + "/") for c in codes)
+    if "code_roots" in roots and "test_roots" not in roots:
+        roots = roots | {"test_roots": [t for t in profile.test_roots if inside(t, roots["code_roots"])]}
+    out = replace(profile, **roots)
+    contained(out)
+    return out
+
+
 def load(repo: Path, config: Path | None = None) -> Settings:
     path = config or discover(repo)
     if path is None:

@@ -5,17 +5,18 @@ The Spark side renders text, reads it back and resolves it; the SQL side never s
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import grammar as G
-from plumbline.operators import packets, policy, suppress, validate
+from plumbline.operators import contracts, packets, policy, suppress, validate
 from plumbline.operators import resolve as R
 from plumbline.plans.registry import Policy
 from plumbline.plans.storage import cut
-from plumbline.sources import files
+from plumbline.sources import artifacts, files
 from plumbline.sources import table_corpus as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -512,6 +513,126 @@ def report_order_in_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return issues.select("symbol", F.row_number().over(Window.partitionBy("path").orderBy(policy.rank(), "line", "symbol")).alias("place"))
 
 
+# --- contracts of artifacts -------------------------------------------------------------------------------
+
+ISSUE = {
+    "code": "SPEC_SECTION_UNMAPPED", "severity": "info", "path": "docs/a.md", "line": 3, "message": "m", "section_id": "A-@K@", "symbol": None, "short_code": "BSS007", "context": None,
+    "default_severity": "info", "invariant_id": None,
+}
+OWN_ISSUE = ISSUE | {"code": "INVARIANT_UNTESTED", "short_code": "BSI001", "context": "draft", "default_severity": "warning", "section_id": None, "invariant_id": "I-@K@"}
+SNIPPET = {"path": "src/a.py", "symbol": "f", "start_line": 2, "snippet": "def f():"}
+SECTION_PACKET = {
+    "packet_id": "docs/a.md#A-@K@", "kind": "section", "spec_path": "docs/a.md", "section_id": "A-@K@", "title": "T", "section_text": "x", "section_start_line": 1, "owners": [SNIPPET], "tests": ["tests/t.py"],
+    "issues": [ISSUE], "packet_warnings": ["w"], "instructions": "do",
+}
+#: (change, the fault that it makes)
+SECTION_CHANGES = [
+    ({}, None), ({"packet_id": "docs/b.md#A-@K@"}, "packet_id is not spec_path#section_id"), ({"packet_id": " "}, "packet_id is missing"), ({"kind": "odd"}, "unknown kind"), ({"kind": None}, "unknown kind"),
+    ({"owners": None}, "a field is missing or of another type"), ({"section_start_line": True}, "a field is missing or of another type"), ({"section_start_line": 0}, "section_start_line is not a positive integer"),
+    ({"tier": "draft"}, "a section's packet with fields of an invariant's"), ({"instructions": "\t"}, "instructions are missing"), ({"title": ""}, "spec_path or title is blank"), ({"section_id": "a b"}, "section_id is no identifier"),
+    ({"owners": [SNIPPET | {"start_line": 1.0}]}, "an owner is not as it should be"), ({"owners": [SNIPPET | {"symbol": ""}]}, "an owner is not as it should be"), ({"owners": [SNIPPET | {"symbol": None}]}, None), ({"owners": ["x"]}, "an owner is not as it should be"),
+    ({"tests": [" "]}, "a test is no path"), ({"issues": [ISSUE | {"code": "NOPE"}]}, "a finding is not as it should be"), ({"issues": [ISSUE | {"context": "weak"}]}, "a finding is not as it should be"),
+    ({"issues": [ISSUE | {"short_code": "BSS001"}]}, "a finding is not as it should be"), ({"issues": [ISSUE | {"default_severity": "error"}]}, "a finding is not as it should be"), ({"issues": [ISSUE | {"severity": "error"}]}, None),
+    ({"issues": [ISSUE | {"invariant_id": "I-1"}]}, "a finding is not as it should be"), ({"issues": [ISSUE | {"line": None}]}, None), ({"packet_warnings": [3]}, "a warning is no text"),
+]
+INVARIANT_PACKET = {
+    "packet_id": "invariant::I-@K@", "kind": "invariant", "invariant_id": "I-@K@", "tier": "draft", "statement": "it holds",
+    "declaration": {"kind": "spec", "path": "docs/a.md", "line": 4, "symbol": None, "section_id": "A-1"}, "targets": [SNIPPET], "binding_tests": [SNIPPET | {"path": "tests/t.py", "snippet": "é"}],
+    "issues": [OWN_ISSUE], "packet_warnings": [], "instructions": "do", "content_hash": "ba168f4058f8c8ab4c22e7e433e474bfa39ca8afce8c46049ab3c9871fbaf3f0",
+}
+DECLARED = INVARIANT_PACKET["declaration"]
+INVARIANT_CHANGES = [
+    ({}, None), ({"statement": "it holds not"}, "content_hash is not that of the evidence"), ({"targets": []}, "content_hash is not that of the evidence"), ({"packet_id": "invariant::I-0"}, "packet_id is not that of the invariant"),
+    ({"invariant_id": "x"}, "invariant_id is no identifier"), ({"tier": "hard"}, "unknown tier"), ({"statement": " "}, "statement is blank"), ({"declaration": []}, "a field is missing or of another type"),
+    ({"declaration": DECLARED | {"symbol": "f"}}, "declaration has not one place and one owner"), ({"declaration": DECLARED | {"section_id": None}}, "declaration has not one place and one owner"),
+    ({"declaration": DECLARED | {"kind": "code", "symbol": "f", "section_id": None}}, None), ({"declaration": DECLARED | {"line": 0}}, "declaration has not one place and one owner"),
+    ({"binding_tests": [SNIPPET | {"snippet": 3}]}, "a target or binding test is not as it should be"), ({"issues": [OWN_ISSUE | {"invariant_id": "I-0"}]}, "a finding is not as it should be"),
+    ({"issues": [OWN_ISSUE | {"context": None}]}, "a finding is not as it should be"), ({"issues": [OWN_ISSUE | {"section_id": "A-1"}]}, "a finding is not as it should be"), ({"kind": "section"}, "a field is missing or of another type"),
+]
+
+
+def _changed(keys: DataFrame, base: dict, changes: list[tuple[dict, str | None]]) -> DataFrame:
+    """(k, value): for each key the JSON text of ``base`` under the change that the key's remainder picks."""
+    forms = F.array(*[F.lit(json.dumps(base | change)) for change, _ in changes])
+    value = F.get(forms, F.pmod("k", F.lit(len(changes))).cast("int"))
+    return keys.select("k", F.replace(value, F.lit("@K@"), F.col("k").cast("string")).alias("value"))
+
+
+def _faults(changes: list[tuple[dict, str | None]], key: str) -> str:
+    told = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+    return f"CASE {key} % {len(changes)} " + " ".join(f"WHEN {i} THEN {told(x)}" for i, (_, x) in enumerate(changes)) + " END"
+
+
+def _keys(spark: SparkSession, sf_dir: str, table: str, key: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(F.col(key).alias("k"))
+
+
+@query(f"SELECT o_orderkey AS k, {_faults(SECTION_CHANGES, 'o_orderkey')} AS error FROM orders")
+def section_packet_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contracts.packets(_changed(_keys(spark, sf_dir, "orders", "o_orderkey"), SECTION_PACKET, SECTION_CHANGES)).select("k", "error")
+
+
+@query(f"SELECT p_partkey AS k, {_faults(INVARIANT_CHANGES, 'p_partkey')} AS error FROM part")
+def invariant_packet_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contracts.packets(_changed(_keys(spark, sf_dir, "part", "p_partkey"), INVARIANT_PACKET, INVARIANT_CHANGES)).select("k", "error")
+
+
+SECTION_ROW = {"path": "docs/a.md", "section_id": "A-@K@", "title": "T", "line": 1, "anchor": None, "kind": "heading"}
+REF_ROW = {"path": "src/a.py", "owner_symbol": "f", "line": 2, "raw": "[A-1]", "spec_path": None, "section_ids": ["A-1"], "anchor": None, "ranges": [["A-1", "A-2"]], "ref_context": "comment"}
+MAPPING_ROW = {"spec_path": "docs/a.md", "section_id": "A-@K@", "line": 2, "target": "src/a.py", "kind": "path", "target_path": "src/a.py", "target_symbol": None}
+EDGE_ROW = {"kind": "mapping", "spec_path": "docs/a.md", "section_id": "A-@K@", "code_path": "src/a.py", "code_symbol": None, "line": 2}
+INVARIANT_ROW = {"invariant_id": "I-@K@", "statement": "s", "tier": "draft", "declaration_kind": "code", "path": "src/a.py", "line": 1, "owner_symbol": "f", "section_id": None}
+BIND_ROW = {"invariant_id": "I-@K@", "test_path": "tests/t.py", "test_symbol": "t", "marker_line": 3, "start_line": 2, "end_line": 9}
+REPORT = {
+    "profile": "default", "repo_root": ".", "summary": {"spec_sections": 1, "code_refs": 1, "spec_mappings": 1, "invariants": 1, "errors": 0, "warnings": 0, "infos": 1},
+    "spec_sections": [SECTION_ROW], "code_refs": [REF_ROW], "spec_mappings": [MAPPING_ROW], "edges": [EDGE_ROW], "invariants": [INVARIANT_ROW], "binds": [BIND_ROW], "issues": [ISSUE],
+}
+FULL = "not a full record"
+#: (list of the report, its elements, the faults by position)
+RECORD_CHANGES = [
+    ("spec_sections", [SECTION_ROW], {}), ("spec_sections", [SECTION_ROW, SECTION_ROW | {"anchor": " "}], {1: FULL}), ("spec_sections", [SECTION_ROW, SECTION_ROW | {"kind": "odd"}, "x"], {1: FULL, 2: FULL}),
+    ("edges", [EDGE_ROW, EDGE_ROW | {"spec_path": "docs/b.md"}], {1: "an edge to a section that the report doesn't have"}), ("edges", [EDGE_ROW | {"line": False}, EDGE_ROW], {0: FULL}), ("edges", [EDGE_ROW | {"kind": "x"}], {0: FULL}),
+    ("code_refs", [REF_ROW | {"ranges": [["A-1"]]}, REF_ROW | {"ranges": [["A-1", 2]]}, REF_ROW | {"ranges": []}], {0: FULL, 1: FULL}), ("code_refs", [REF_ROW | {"ref_context": "weak"}, REF_ROW | {"raw": ""}], {0: FULL}),
+    ("spec_mappings", [MAPPING_ROW | {"target": " "}, MAPPING_ROW | {"target_path": 3}, MAPPING_ROW | {"target_path": None}], {0: FULL, 1: FULL}), ("invariants", [INVARIANT_ROW | {"section_id": "A-1"}], {0: FULL}),
+    ("invariants", [INVARIANT_ROW, INVARIANT_ROW], {"bind": "a bind to no single invariant"}), ("binds", [BIND_ROW, BIND_ROW | {"marker_line": 4}], {1: "the same bind again"}), ("binds", [BIND_ROW | {"start_line": 10}], {0: FULL}),
+    ("binds", [BIND_ROW | {"invariant_id": "I-0.0"}], {0: "a bind to no single invariant"}), ("spec_sections", [SECTION_ROW, SECTION_ROW | {"section_id": "I-@K@"}], {"bind": "a bind to no single invariant"}),
+    ("issues", [{k: v for k, v in ISSUE.items() if k != "invariant_id"}, ISSUE | {"line": 0}, ISSUE], {0: FULL, 1: FULL}),
+]
+
+
+def _record_sql() -> str:
+    told = lambda x: x.replace("'", "''")
+    rows = [(i, "binds" if p == "bind" else name, 0 if p == "bind" else p, told(e)) for i, (name, _, faults) in enumerate(RECORD_CHANGES) for p, e in faults.items()]
+    values = ", ".join(f"({i}, '{part}', {p}, '{e}')" for i, part, p, e in rows)
+    return f"SELECT c_custkey AS k, part, position, error FROM customer JOIN (VALUES {values}) v(m, part, position, error) ON m = c_custkey % {len(RECORD_CHANGES)}"
+
+
+@query(_record_sql())
+def report_record_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _changed(_keys(spark, sf_dir, "customer", "c_custkey"), REPORT, [({name: x}, None) for name, x, _ in RECORD_CHANGES])
+    return contracts.record_errors(contracts.records(rows)).where("error is not null")
+
+
+COUNTED = REPORT["summary"]
+SUMMARY_CHANGES = [
+    ({}, None), ({"summary": COUNTED | {"infos": 0}}, "the summary disagrees with the rows"), ({"summary": COUNTED | {"errors": "0"}}, "the summary has values that are no counts"), ({"edges": {}}, "not a report"), ({"binds": None}, "not a report"),
+    ({"summary": {k: v for k, v in COUNTED.items() if k != "warnings"}}, "the summary lacks counts"), ({"summary": {k: v for k, v in COUNTED.items() if k != "invariants"}}, "a report with only some of an older form"), ({"profile": 1}, "not a report"),
+    ({"issues": []}, "the summary disagrees with the rows"), ({"summary": COUNTED | {"code_refs": 1.0}}, "the summary has values that are no counts"),
+]
+
+
+@query(f"SELECT c_custkey AS k, {_faults(SUMMARY_CHANGES, 'c_custkey')} AS error FROM customer")
+def report_summary_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _changed(_keys(spark, sf_dir, "customer", "c_custkey"), REPORT, SUMMARY_CHANGES)
+    return contracts.summary_errors(rows, contracts.records(rows)).select("k", "error")
+
+
+@query("SELECT 'docs/a.md#A-' || c_custkey AS packet_id, 'section' AS kind FROM customer UNION ALL SELECT 'invariant::I-' || c_custkey, 'invariant' FROM customer")
+def packet_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _changed(_keys(spark, sf_dir, "customer", "c_custkey"), REPORT, [({}, None)])
+    return artifacts.identities(contracts.records(rows))
+
+
 # --- readers ----------------------------------------------------------------------------------------------
 
 

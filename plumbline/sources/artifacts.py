@@ -2,67 +2,55 @@
 
 from __future__ import annotations
 
-import json
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators import contracts
 from plumbline.operators import validate as V
+from plumbline.plans.registry import Policy
+from plumbline.plans.storage import cut
 
 
 def json_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(row_id, value): the lines that aren't blank, numbered as in the file.
+    """(row_id, value): the lines of a file that aren't blank, numbered as in the file.
 
-    A file's lines come in one split each or several; numbers follow from the whole text, so one file, a bounded
-    artifact, is read as a row and taken apart on the executors.
+    Each split numbers its own lines; the counts of the splits before it, a row for each, are added.
     """
-    whole = spark.read.text(path, wholetext=True)
-    rows = whole.select(F.posexplode(F.split("value", "\r?\n")).alias("i", "value"))
-    return rows.where(F.trim("value") != "").select((F.col("i") + 1).cast("long").alias("row_id"), "value")
+    own = Window.partitionBy("at").orderBy("k")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("k"))
+    splits = lines.groupBy("at").agg(F.count("*").alias("n"))
+    before = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("at", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    placed = lines.withColumn("i", F.row_number().over(own)).join(splits, "at")
+    return placed.where(F.trim("value") != "").select((F.col("first") + F.col("i")).cast("long").alias("row_id"), "value")
 
 
-def packets(spark: SparkSession, path: str) -> DataFrame:
+def packets(spark: SparkSession, path: str, policy: Policy | None = None) -> DataFrame:
     """(row_id, packet_id, kind, packet, instructions, error) of a packet file; rows without a kind are sections'."""
-    rows = json_lines(spark, path).withColumn("v", F.try_parse_json("value"))
-    v = F.col("v")
-    inv = F.coalesce(V.text(v, "$.packet_id").startswith(V.INVARIANT_PREFIX), F.lit(False))
-    kind = F.when(V.json_kind(v, "$.kind").isNull(), "section").otherwise(V.text(v, "$.kind"))
-    need = lambda fields: F.exists(F.array(*[~F.coalesce(V.json_kind(v, f"$.{f}").startswith(t), F.lit(False)) for f, t in fields]), lambda x: x)
-    both = [("packet_id", "STRING"), ("issues", "ARRAY"), ("packet_warnings", "ARRAY"), ("instructions", "STRING")]
-    section = [*both, ("spec_path", "STRING"), ("section_id", "STRING"), ("title", "STRING"), ("section_text", "STRING"), ("section_start_line", "BIGINT"), ("owners", "ARRAY"), ("tests", "ARRAY")]
-    invariant = [*both, ("invariant_id", "STRING"), ("tier", "STRING"), ("statement", "STRING"), ("declaration", "OBJECT"), ("targets", "ARRAY"), ("binding_tests", "ARRAY"), ("content_hash", "STRING")]
-    rules = [
-        (~F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)), "not a JSON object"), (~V.filled(V.text(v, "$.packet_id")), "packet_id is missing"),
-        (~F.coalesce(kind.isin("section", "invariant"), F.lit(False)), "unknown kind"), ((kind == "section") & inv, "a section's packet with an invariant's id"),
-        ((kind == "invariant") & ~inv, "an invariant's packet with a section's id"), ((kind == "section") & need(section), "a field is missing or of another type"),
-        ((kind == "invariant") & need(invariant), "a field is missing or of another type"),
-    ]
-    return rows.select("row_id", V.text(v, "$.packet_id").alias("packet_id"), kind.alias("kind"), F.col("value").alias("packet"), V.text(v, "$.instructions").alias("instructions"), V.first_error(rules).alias("error"))
-
-
-def report(spark: SparkSession, path: str) -> dict:
-    """A report whose counts agree with its rows and whose edges lead to its sections; ValueError if not."""
-    told = json.loads(spark.read.text(path, wholetext=True).first()[0])
-    lists = ["spec_sections", "code_refs", "spec_mappings", "edges", "issues"]
-    if not isinstance(told, dict) or not all(isinstance(told.get(k), list) for k in lists) or not isinstance(told.get("summary"), dict):
-        raise ValueError("not a report")
-    older = [k for k in ("invariants", "binds") if k not in told]
-    if len(older) == 1 or (older and "invariants" in told["summary"]):
-        raise ValueError("a report with only some of an older form")
-    for k in older:
-        told[k] = []
-    n = {"spec_sections": len(told["spec_sections"]), "code_refs": len(told["code_refs"]), "spec_mappings": len(told["spec_mappings"])} | ({} if older else {"invariants": len(told["invariants"])})
-    n |= {k: sum(i.get("severity") == s for i in told["issues"]) for k, s in (("errors", "error"), ("warnings", "warning"), ("infos", "info"))}
-    if any(told["summary"].get(k) != v for k, v in n.items()):
-        raise ValueError("the summary disagrees with the rows")
-    known = {(s["path"], s["section_id"]) for s in told["spec_sections"]}
-    if any((e["spec_path"], e["section_id"]) not in known for e in told["edges"]):
-        raise ValueError("an edge to a section that the report doesn't have")
-    return told
-
-
-def identities(spark: SparkSession, told: dict) -> DataFrame:
+    rows = contracts.packets(json_lines(spark, path), policy)
+    return rows.select("row_id", "packet_id", "kind", F.col("value").alias("packet"), "instructions", "error")
+
+
+def report(spark: SparkSession, path: str, policy: Policy | None = None) -> tuple[dict, DataFrame]:
+    """(summary, records) of a report that holds; ValueError tells the first fault of one that doesn't."""
+    rows = spark.read.text(path, wholetext=True).withColumn("report", F.lit(path))
+    every = cut(contracts.records(rows), "records")
+    bad = contracts.summary_errors(rows, every).first()
+    if bad is None or bad["error"]:
+        raise ValueError(bad["error"] if bad else "not a report")
+    order = F.array_position(F.array(*[F.lit(x) for x in contracts.LISTS]), F.col("part"))
+    fault = contracts.record_errors(every, policy).where("error is not null").orderBy(order, "position").first()
+    if fault:
+        raise ValueError(f"{fault['part']}[{fault['position']}]: {fault['error']}")
+    names = [x for x in (*contracts.LISTS[:3], "invariants", *contracts.SEVERITIES)]
+    told = rows.select(F.from_json("value", "summary struct<" + ", ".join(f"{x}: long" for x in names) + ">")["summary"].alias("s")).first()["s"]
+    return {k: v or 0 for k, v in told.asDict().items()}, every
+
+
+def identities(every: DataFrame) -> DataFrame:
     """(packet_id, kind) of the packets that a report can have: linked sections and bound invariants."""
-    bound = {b["invariant_id"] for b in told["binds"]}
-    rows = {(f"{e['spec_path']}#{e['section_id']}", "section") for e in told["edges"]} | {(f"{V.INVARIANT_PREFIX}{i['invariant_id']}", "invariant") for i in told["invariants"] if i["invariant_id"] in bound}
-    return spark.createDataFrame(sorted(rows), "packet_id string, kind string")
+    of = lambda part, name: (F.when(F.col("part") == part, V.text(F.col("v"), f"$.{name}")))
+    edges = every.where("part = 'edges'").select(F.concat_ws("#", of("edges", "spec_path"), of("edges", "section_id")).alias("packet_id"), F.lit("section").alias("kind"))
+    bound = every.where("part = 'binds'").select(of("binds", "invariant_id").alias("id"))
+    declared = every.where("part = 'invariants'").select(of("invariants", "invariant_id").alias("id")).join(bound, "id", "left_semi")
+    return edges.distinct().union(declared.select(F.concat(F.lit(V.INVARIANT_PREFIX), "id"), F.lit("invariant")).distinct())

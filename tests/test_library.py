@@ -256,7 +256,8 @@ def test_check_finds_each_case(checked):
     assert {(e["kind"], e["section_id"], e["code_path"]) for e in told["edges"]} >= {("backlink", "CORE-1", a), ("backlink", "CORE.2.2", a), ("backlink", "CORE-2", a), ("backlink", "PLAN-1", a), ("mapping", "CORE-1", "src/"), ("mapping", "CORE-1", "src/x/b.py")}
     assert [(i["code"], i["reason"]) for i in told["suppressed_issues"]] == [("PYTHON_SYNTAX_ERROR", "config_file")]
     ranks = [("error", "warning", "info").index(i["severity"]) for i in told["issues"]]
-    assert ranks == sorted(ranks) and told["summary"]["errors"] == ranks.count(0) and "error (" in C.as_text(told)
+    assert ranks == sorted(ranks) and told["summary"]["errors"] == ranks.count(0) and "error (" in "".join(C.text_report(checked, PROFILE, True))
+    assert "".join(C.json_report(checked, PROFILE, ".", True)) == json.dumps(told, indent=2) + "\n"
 
 
 def test_packets_and_model(spark, checked):
@@ -289,11 +290,36 @@ def test_command_line(spark, tmp_path, capsys):
     said = capsys.readouterr().out
     assert "section ok: 3" in said and "invariant weak_binding: 1" in said
     assert cli.main(["config", str(repo)]) == 0 and "BSC001" not in capsys.readouterr().err
-    assert cli.main(["doctor", str(repo)]) == 0 and cli.main(["check", str(repo), "--config", str(tmp_path / "none.toml")], spark) == 2 and cli.main(["nonsense"]) == 2
+    assert cli.main(["doctor", str(repo)]) == 0 and cli.main(["--config", str(tmp_path / "none.toml"), "check", str(repo)], spark) == 2 and cli.main(["check", str(repo), "--config", str(tmp_path / "none.toml")], spark) == 2 and cli.main(["nonsense"]) == 2
     (repo / "src/odd.py").write_text("# plumbline: noqa NOPE\n")
     assert cli.main(["check", str(repo)], spark) == 2
 
 
+def test_flags_and_doctor(spark, tmp_path, capsys, monkeypatch):
+    repo = repository(tmp_path / "r")
+    (repo / "plumbline.toml").write_text('[analyze]\nmodel = "third"\n[check]\nwarnings_as_errors = true\n')
+    parsed = cli.parser().parse_args(["check", str(repo), "--spec-root", "a", "--spec-root", "b", "--code-root", "src", "--no-warnings-as-errors"])
+    got = config.overridden(PROFILE, None, {r: getattr(parsed, r) for r in config.ROOTS if getattr(parsed, r)})
+    assert (got.spec_roots, got.code_roots, got.test_roots, parsed.warnings_as_errors) == (["a", "b"], ["src"], [], False)
+    for name, roots in (("odd", {}), (None, {"test_roots": ["elsewhere"]})):
+        with pytest.raises(config.ConfigError):
+            config.overridden(PROFILE, name, roots)
+    assert cli.main(["check", str(repo), "--spec-root", "nowhere"], spark) == 1 and "SCAN_ROOT_MISSING nowhere" in capsys.readouterr().out
+    assert cli.main(["config", "path", str(repo)]) == 0 and capsys.readouterr().out.strip().endswith("plumbline.toml")
+    assert cli.main(["config", "path", str(repo), "--no-config"]) == 0 and capsys.readouterr().out == ""
+    monkeypatch.setenv("PLUMBLINE_MODEL", " ")
+    assert cli.model_name(None, "third") == "third" and cli.model_name(" first ", "third") == "first"
+    monkeypatch.setenv("PLUMBLINE_MODEL", "second")
+    assert cli.model_name(None, "third") == "second"
+    assert [cli.bare_url(x) for x in ("https://key@h:8/v1?k=1#x", "http://[::1]/a", "ftp://h", "http://h:x", "nothing")] == ["https://h:8/v1", "http://[::1]/a", None, None, None]
+    (tmp_path / "own_model.py").write_text("def make(model=None):\n    def call(prompt):\n        return model\n    call.api_base = 'http://u:p@h/v1'\n    return call\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    assert cli.main(["doctor", str(repo), "--format", "json", "--adapter", "own_model:make"]) == 0
+    told = json.loads(capsys.readouterr().out)
+    assert told["ok"] and [c["name"] for c in told["checks"]] == list(cli.CHECKS) and {c["name"]: c["detail"] for c in told["checks"]} | {} == {c["name"]: c["detail"] for c in told["checks"]} | {"model": "second", "endpoint": "http://h/v1"}
+    assert cli.adapter_of("own_model:make", "m")()("p") == "m" and cli.main(["doctor", str(repo), "--adapter", "own_model:gone"]) == 2
+
+
 def test_scan_boundaries(spark, tmp_path):
     repo = repository(tmp_path)
     files, missing = scan(spark, str(repo), ["src", "src/x", "nowhere"], "*.py")
