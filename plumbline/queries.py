@@ -662,3 +662,74 @@ def py_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit("def "), F.col("owner_symbol"), F.lit("():\n    \"\"\""), F.col("raw"), F.lit("\"\"\"\n    return 1\n\n"))
     parsed = files.parse(_rendered(lines.select("path", F.col("owner_symbol").alias("n"), text.alias("text")), "text"), "py", [], "plumbline", False)
     return files._relation(parsed, "ref").select("path", "owner_symbol", "ref_context", F.array_join("section_ids", ",").alias("ids"))
+
+
+# --- readers, form by form --------------------------------------------------------------------------------
+
+#: (a file with @K@ for its key, what is read from it as (relation, fields)); null fields are "-".
+PY_FORMS = [
+    ('"""Invariant (draft): [I-@K@] it holds\n    and goes on\nends\n"""\n', [("invariant", "I-@K@|draft|<module>|1|it holds\nand goes on")]),
+    ('class Thing:\n    """Invariant: [I-@K@] it holds"""\n', [("invariant", "I-@K@|required|Thing|2|it holds")]),
+    ('def test_a():\n    """Tests-invariant: [I-@K@], [J-1]"""\n', [("bind", "I-@K@|test_a|2|1|2"), ("bind", "J-1|test_a|2|1|2")]),
+    ('class TestAll:\n    """Tests-invariant: [I-@K@]"""\n\n    def test_a(self):\n        pass\n\n    def helper(self):\n        pass\n', [("bind", "I-@K@|TestAll.test_a|2|4|5")]),
+    ("# Tests-invariant: [I-@K@]\n@staticmethod\ndef test_b():\n    pass\n", [("bind", "I-@K@|test_b|1|3|4")]),
+    ("# Tests-invariant: [I-@K@]\n\nx = 1\n", [("finding", "INVARIANT_BINDING_NOT_TEST|1|I-@K@")]),
+    ("x = 1\n# Invariant: [I-@K@] not here\n", [("finding", "INVARIANT_MARKER_INVALID|2|I-@K@")]),
+    ('def f():\n    """Invariant: [I-@K@]"""\n', [("finding", "INVARIANT_MARKER_INVALID|2|I-@K@")]),
+    ("def (:\n", [("finding", "PYTHON_SYNTAX_ERROR|1|-")]),
+    ('"""Module.\n\nplumbline: noqa BSC005\n"""\n', [("module_noqa", "CODE_REF_BROAD")]),
+    ("def f():\n    # plumbline: noqa BSC002, CODE_REF_BROAD\n    x = [\n        @K@,\n    ]\n    return x\n", [("span_noqa", "3|5|CODE_REF_BARE_UNRESOLVED,CODE_REF_BROAD")]),
+    ("# plumbline: noqa\nx = 1\n", [("finding", "SUPPRESSION_INVALID_SYNTAX|1|-")]),
+    ("# plumbline: noqa NO_SUCH_CODE\nx = 1\n", [("finding", "SUPPRESSION_UNKNOWN_CODE|1|-")]),
+    ("# as in plumbline: noqa BSC002\nx = @K@\n", []),
+]
+MD_FORMS = [
+    ("## A title [A-@K@]\n\n- **A.@K@.1**: one\n- **A.@K@.2**: two\n", [("section", "A-@K@|heading|A title|1"), ("section", "A.@K@.1|invariant|one|3"), ("section", "A.@K@.2|invariant|two|4")]),
+    ("## T [A-@K@]\n\n_Implementation mapping_:\n- [B-@K@] Sub — more `src/b.py`\n- `src/c.py`,\n  `run`\n", [("section", "A-@K@|heading|T|1"), ("section", "B-@K@|bullet|Sub|4"), ("mapping", "B-@K@|4|src/b.py|path"), ("mapping", "B-@K@|5|src/c.py|path"), ("mapping", "B-@K@|6|run|symbol")]),
+    ("_Implementation mapping_: `src/a.py`\n", [("finding", "MAPPING_BLOCK_OWNERLESS|1|-")]),
+    ("## T [A-@K@]\n\nInvariant (draft): [I-@K@] it holds\nand goes on\n", [("section", "A-@K@|heading|T|1"), ("invariant", "I-@K@|draft|-|3|it holds\nand goes on")]),
+    ("Invariant: [I-@K@] of nobody\n", [("finding", "INVARIANT_MARKER_INVALID|1|I-@K@")]),
+    ("_Traceability: meta_\n\n## T [A-@K@]\n", [("file_marker", "true|"), ("section", "A-@K@|heading|T|3")]),
+    ("## T [A-@K@]\n\n_Traceability: ignore BSS007_\n", [("section", "A-@K@|heading|T|1"), ("section_marker", "A-@K@|false|SPEC_SECTION_UNMAPPED")]),
+    ("## T [A-@K@] <!-- plumbline: meta -->\n", [("section", "A-@K@|heading|T|1"), ("section_marker", "A-@K@|true|")]),
+    ("## T [A-@K@]\n\ntext\n\n<!-- plumbline: ignore BSS007 -->\n", [("section", "A-@K@|heading|T|1"), ("finding", "SUPPRESSION_INVALID_SYNTAX|5|-")]),
+    ("## T [A-@K@]\n\n```\n## U [B-@K@]\n```\n\n> ## V [C-@K@]\n\n    ## W [D-@K@]\n", [("section", "A-@K@|heading|T|1")]),
+    ("T [A-@K@]\n=====\n\n## T [A-@K@] ##\n", [("section", "A-@K@|heading|T|1"), ("section", "A-@K@|heading|T|4")]),
+]
+SHOWN = {
+    "section": ["section_id", "kind", "title", "line"], "mapping": ["section_id", "line", "target", "kind"], "invariant": ["invariant_id", "tier", "owner_symbol", "line", "statement"],
+    "bind": ["invariant_id", "test_symbol", "marker_line", "start_line", "end_line"], "finding": ["code", "line", "invariant_id"], "module_noqa": ["codes"], "span_noqa": ["start_line", "end_line", "codes"],
+    "section_marker": ["section_id", "meta", "codes"], "file_marker": ["meta", "codes"],
+}
+
+
+def _read_forms(keys: DataFrame, kind: str, forms: list) -> DataFrame:
+    """(k, relation, told) of one file for each key, of the form that the key's remainder picks."""
+    text = F.get(F.array(*[F.lit(x) for x, _ in forms]), F.pmod("k", F.lit(len(forms))).cast("int"))
+    path = F.concat(F.lit("tests/test_"), F.col("k").cast("string"), F.lit(f".{kind}"))
+    rows = keys.select(path.alias("path"), F.replace(text, F.lit("@K@"), F.col("k").cast("string")).cast("binary").alias("content"), F.lit(0).alias("root"))
+    parsed = cut(files.parse(rows, kind, ["tests"], "plumbline", True), "forms")
+    key = F.regexp_extract("path", r"_(\d+)\.", 1).cast("long").alias("k")
+    out = []
+    for name, columns in SHOWN.items():
+        of = [F.array_join(c, ",") if c == "codes" else F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns]
+        out.append(files._relation(parsed, name).select(key, F.lit(name).alias("relation"), F.concat_ws("|", *of).alias("told")))
+    return R.union(out)
+
+
+def _forms_sql(forms: list, table: str, key: str) -> str:
+    text = lambda x: "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    values = ", ".join(f"({i}, '{relation}', {text(told)})" for i, (_, rows) in enumerate(forms) for relation, told in rows)
+    return f"SELECT {key}::BIGINT AS k, relation, replace(told, '@K@', {key}::VARCHAR) AS told FROM {table} JOIN (VALUES {values}) v(m, relation, told) ON m = {key} % {len(forms)}"
+
+
+@query(_forms_sql(PY_FORMS, "customer", "c_custkey"))
+def code_directives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declarations, bindings, suppressions and faults of Python files."""
+    return _read_forms(_keys(spark, sf_dir, "customer", "c_custkey"), "py", PY_FORMS)
+
+
+@query(_forms_sql(MD_FORMS, "part", "p_partkey"))
+def spec_directives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of every kind, mappings by line, declarations, markers and faults of Markdown files."""
+    return _read_forms(_keys(spark, sf_dir, "part", "p_partkey"), "md", MD_FORMS)
