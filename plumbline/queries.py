@@ -7,11 +7,13 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import grammar as G
+from plumbline.functions.line_refs import extract_refs
 from plumbline.operators import contracts, packets, policy, suppress, validate
 from plumbline.operators import resolve as R
 from plumbline.plans.registry import Policy
@@ -633,6 +635,92 @@ def packet_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return artifacts.identities(contracts.records(rows))
 
 
+
+# --- whole packets ----------------------------------------------------------------------------------------
+
+#: A specification, a module and, for some, a test for each supplier; what a packet shows of them follows from its key.
+PACKETS = """p AS (
+  SELECT s_suppkey AS k, s_name AS title, s_suppkey % 120 + 1 AS n, s_suppkey % 150 + 1 AS m, s_suppkey % 2 = 1 AS named, s_suppkey % 2 = 1 AND s_suppkey % 5 = 0 AS lost FROM supplier
+), q AS (SELECT *, 'src/c' || k || '.py' AS code, CASE WHEN named AND NOT lost THEN 2 ELSE 1 END AS st,
+  array_to_string(list_transform(CASE WHEN named AND NOT lost THEN range(2, least(3, m) + 1) ELSE range(1, least(m, 120) + 1) END, lambda i: 'x = ' || i), chr(10)) AS head,
+  CASE WHEN m > 120 AND (lost OR NOT named) THEN ['only 120 lines of src/c' || k || '.py'] ELSE [] END AS long FROM p)"""
+
+
+def _packet_corpus(spark: SparkSession, sf_dir: str) -> tuple[R.Corpus, DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(corpus, edges, issues, texts, symbols, binds) of which ``PACKETS`` tells in SQL."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("k"), F.col("s_name").alias("title"))
+    k, none, one = F.col("k"), F.lit(None).cast("string"), F.lit(1).cast("long")
+    said = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    spec, code, test = said("docs/specs/s", k, ".md"), said("src/c", k, ".py"), said("tests/t", k, ".py")
+    n, m = F.pmod(k, F.lit(120)) + 1, F.pmod(k, F.lit(150)) + 1
+    numbered = lambda word, most: F.transform(F.sequence(F.lit(1).cast("long"), most.cast("long")), lambda i: F.concat(F.lit(word), i.cast("string")))
+    at = lambda path, line: F.struct(F.lit(0).alias("root"), path.alias("path"), line.cast("long").alias("seq")).alias("ord")
+    section = lambda id_, title, line: s.select(spec.alias("path"), id_.alias("section_id"), title.alias("title"), line.cast("long").alias("line"), none.alias("anchor"), F.lit("heading").alias("kind"), at(spec, line))
+    named = F.when(F.pmod(k, F.lit(2)) == 1, "f")
+    edge = lambda rows, kind, path, symbol: rows.select(F.lit(kind).alias("kind"), spec.alias("spec_path"), said("S-", k).alias("section_id"), path.alias("code_path"), symbol.alias("code_symbol"), one.alias("line"))
+    tested = s.where(F.pmod(k, F.lit(3)) == 0)
+    text = lambda rows, path, lines: rows.select(path.alias("path"), lines.alias("lines"))
+    body = F.concat(F.array(said("## ", F.col("title"), " [S-", k, "]"), F.lit("")), numbered("body ", n), F.array(said("## Next [T-", k, "]")))
+    found = lambda every, code_, path, id_, own: s.where(F.pmod(k, F.lit(every)) == 0).select(
+        F.lit(code_).alias("code"), none.alias("context"), path.alias("path"), one.alias("line"), F.lit("m").alias("message"), id_.alias("section_id"), none.alias("symbol"), own.alias("invariant_id")
+    )
+    sid = said("S-", k)
+    findings = [found(4, "CODE_REF_BROAD", spec, sid, none), found(8, "SPEC_SECTION_MISSING", code, sid, none), found(2, "SPEC_ANCHOR_MISSING", F.lit("src/other.py"), sid, none), found(6, "INVARIANT_DUPLICATE", spec, none, said("I-", k))]
+    invariants = s.select(
+        said("I-", k).alias("invariant_id"), F.col("title").alias("statement"), F.lit("draft").alias("tier"), F.lit("spec").alias("declaration_kind"), spec.alias("path"), F.lit(3).cast("long").alias("line"),
+        none.alias("owner_symbol"), sid.alias("section_id"), at(spec, F.lit(3)),
+    )
+    binds = tested.select(said("I-", k).alias("invariant_id"), test.alias("test_path"), F.lit("test_a").alias("test_symbol"), one.alias("marker_line"), one.alias("start_line"), (one + 1).alias("end_line"), at(test, one))
+    symbols = s.where(F.pmod(k, F.lit(5)) != 0).select(code.alias("path"), F.lit("f").alias("symbol"), (one + 1).alias("start_line"), (one + 2).alias("end_line"))
+    symbols = symbols.union(tested.select(test, F.lit("test_a"), one, one + 1))
+    corpus = replace(T.corpus(spark, sf_dir), sections=section(sid, F.col("title"), one).union(section(said("T-", k), F.lit("Next"), n + 3)), invariants=invariants)
+    edges = edge(s, "mapping", code, named).union(edge(tested, "backlink", test, F.lit("test_a")))
+    texts = R.union([text(s, spec, body), text(s, code, numbered("x = ", m)), text(tested, test, numbered("y = ", one + 3))])
+    return corpus, edges, policy.apply(R.union(findings), Policy())[0], texts, symbols, binds
+
+
+@query(f"""WITH {PACKETS} SELECT 'docs/specs/s' || k || '.md#S-' || k AS packet_id, title, 1::BIGINT AS line,
+  sha256('## ' || title || ' [S-' || k || ']' || chr(10) || chr(10) || array_to_string(list_transform(range(1, least(n, 98) + 1), lambda i: 'body ' || i), chr(10))) AS text_sha256,
+  code || '::' || CASE WHEN named THEN 'f' ELSE '-' END || ':' || st AS owner, sha256(head) AS snippet_sha256, CASE WHEN k % 3 = 0 THEN 'tests/t' || k || '.py' ELSE '' END AS tests,
+  CASE WHEN k % 8 = 0 THEN 'SPEC_SECTION_MISSING,' ELSE '' END || CASE WHEN k % 4 = 0 THEN 'CODE_REF_BROAD' ELSE '' END AS codes,
+  array_to_string((CASE WHEN lost THEN ['no symbol f in ' || code || '; the file''s head instead'] ELSE [] END || long) || CASE WHEN n + 2 > 100 THEN ['only 100 lines of the section'] ELSE [] END, '; ') AS warnings FROM q""")
+def section_packet_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text, owners' snippets, tests, findings and warnings of whole packets."""
+    corpus, edges, issues, texts, symbols, _ = _packet_corpus(spark, sf_dir)
+    got = packets.section_packets(corpus, edges, issues, texts, symbols, T.PROFILE, "do")
+    own = F.get("owners", 0)
+    owner = F.concat(own["path"], F.lit("::"), F.coalesce(own["symbol"], F.lit("-")), F.lit(":"), own["start_line"].cast("string"))
+    return got.select(
+        "packet_id", "title", F.col("section_start_line").alias("line"), F.sha2("section_text", 256).alias("text_sha256"), owner.alias("owner"), F.sha2(own["snippet"], 256).alias("snippet_sha256"),
+        F.array_join("tests", ",").alias("tests"), F.array_join("issues.code", ",").alias("codes"), F.array_join("packet_warnings", "; ").alias("warnings"),
+    )
+
+
+@query(f"""WITH {PACKETS}, r AS (SELECT *, CASE WHEN lost THEN '' ELSE replace(head, chr(10), '\\n') END AS shown FROM q WHERE k % 3 = 0)
+SELECT 'invariant::I-' || k AS packet_id, title AS statement, 'spec:docs/specs/s' || k || '.md:3:S-' || k AS declared, CASE WHEN k % 6 = 0 THEN 'INVARIANT_DUPLICATE' ELSE '' END AS codes,
+  array_to_string(CASE WHEN lost THEN ['no symbol f in ' || code] ELSE long END, '; ') AS warnings,
+  sha256('{{"binding_tests":[{{"path":"tests/t' || k || '.py","snippet":"y = 1\\ny = 2","start_line":1,"symbol":"test_a"}}],"statement":"' || title || '","targets":[{{"path":"' || code || '","snippet":"' || shown || '","start_line":' || st || ',"symbol":' || CASE WHEN named THEN '"f"' ELSE 'null' END || '}}]}}') AS content_hash FROM r""")
+def invariant_packet_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declaration, findings, warnings and hash of whole packets; the hash covers targets and binding tests."""
+    corpus, edges, issues, texts, symbols, binds = _packet_corpus(spark, sf_dir)
+    got = packets.invariant_packets(corpus, binds, edges, issues, texts, symbols, "do")
+    d = lambda x: F.col(f"declaration.{x}").cast("string")
+    return got.select("packet_id", "statement", F.concat_ws(":", d("kind"), d("path"), d("line"), d("section_id")).alias("declared"), F.array_join("issues.code", ",").alias("codes"), F.array_join("packet_warnings", "; ").alias("warnings"), "content_hash")
+
+
+ANCHORED = "docs/specs/Suppliers.md"
+
+
+@query("SELECT o_orderkey AS k, CASE WHEN s_suppkey IS NULL THEN '' ELSE 'PRT-' || s_suppkey END AS section_id FROM orders LEFT JOIN supplier ON s_suppkey = o_custkey % 150")
+def anchor_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References to a heading's anchor, as text; those to no heading are findings."""
+    o, n = spark.read.parquet(f"{sf_dir}/orders.parquet"), F.pmod("o_custkey", F.lit(150)).cast("string")
+    raw = F.concat(F.lit(f"Spec: {ANCHORED}#supplier"), F.lpad(n, 9, "0"), F.lit("-prt-"), n)
+    lines = o.select(F.lit("src/a.py").alias("path"), F.col("o_orderkey").cast("string").alias("owner_symbol"), F.lit(1).cast("long").alias("line"), raw.alias("raw"), F.lit("asserted").alias("ref_context"))
+    edges, missing = R.anchor_lookup(extract_refs(lines), T.anchors(spark, sf_dir), T.sections(spark, sf_dir))
+    return edges.select(F.col("code_symbol").cast("long").alias("k"), "section_id").union(missing.select(F.col("symbol").cast("long"), F.lit("")))
+
+
 # --- readers ----------------------------------------------------------------------------------------------
 
 
