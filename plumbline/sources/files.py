@@ -5,8 +5,10 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from fnmatch import fnmatch
+from urllib.parse import quote
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,27 +57,43 @@ def _is_dir(spark: SparkSession, fs: object, path: str) -> bool:
     return fs.exists(p) and fs.getFileStatus(p).isDirectory()
 
 
-def _listed(spark: SparkSession, paths: list[str], base: str, pattern: str | None) -> DataFrame:
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
-    found = reader.load(paths)
-    return found.select(F.substring("path", len(base) + 2, 1 << 20).alias("path"), "content").unionByName(_empty(spark, paths, base, pattern))
-
-
-def _empty(spark: SparkSession, paths: list[str], base: str, pattern: str | None) -> DataFrame:
-    """Files of no bytes, which Spark's own listing leaves out; names come from Hadoop's, contents are empty."""
+def _names(spark: SparkSession, paths: list[str], base: str, pattern: str | None) -> DataFrame:
+    """(path) of every file below the paths. Spark's own listing leaves out files of no bytes and names with _ or . in front."""
     names = []
     for p in paths:
         path = spark._jvm.org.apache.hadoop.fs.Path(p)
         found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
         while found.hasNext():
-            f = found.next()
-            if f.getLen() == 0:
-                name = f.getPath().toString()[len(base) + 1 :]
-                if pattern is None or fnmatch(name.rpartition("/")[2], pattern):
-                    names.append((name,))
-    return spark.createDataFrame(names, "path string").withColumn("content", F.lit(b""))
+            name = found.next().getPath().toString()[len(base) + 1 :]
+            if pattern is None or fnmatch(name.rpartition("/")[2], pattern):
+                names.append((name,))
+    return spark.createDataFrame(names, "path string")
+
+
+def _read(names: DataFrame, base: str) -> DataFrame:
+    """(path, content) of files that Spark's reader doesn't list, read where the rows are."""
+    scheme, _, rest = base.partition(":")
+    root = f"{ {'s3a': 's3'}.get(scheme, scheme) }:" + quote(rest if rest.startswith("//") else "//" + rest)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system = top = None
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                if system is None:
+                    system, top = pa.fs.FileSystem.from_uri(root)
+                with system.open_input_file(f"{top}/{path}") as f:
+                    yield pa.RecordBatch.from_arrays([pa.array([path], pa.string()), pa.array([f.read()], pa.binary())], names=["path", "content"])
+
+    return names.select("path").mapInArrow(run, "path string, content binary")
+
+
+def _listed(spark: SparkSession, paths: list[str], base: str, pattern: str, excludes: list[str]) -> DataFrame:
+    """(path, content): excluded files are left out before any content is read."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
+    found = reader.load(paths).select(F.substring("path", len(base) + 2, 1 << 20).alias("path"), "content")
+    kept = lambda df: df.where(~G.excluded(F.col("path"), excludes))
+    rest = kept(_names(spark, paths, base, pattern)).join(found.select("path"), "path", "left_anti")
+    return kept(found).unionByName(_read(rest, base))
 
 
 def scan(spark: SparkSession, repo: str, roots: list[str], pattern: str, excludes: list[str] = EXCLUDES) -> tuple[DataFrame | None, list[str]]:
@@ -93,15 +111,15 @@ def scan(spark: SparkSession, repo: str, roots: list[str], pattern: str, exclude
     top = [r for r in there if not any(r != o and (r + "/").startswith(o.rstrip("/") + "/") for o in there)]
     if not top:
         return None, missing
-    files = _listed(spark, [f"{base}/{r}" for r in dict.fromkeys(top)], base, pattern)
+    files = _listed(spark, [f"{base}/{r}" for r in dict.fromkeys(top)], base, pattern, excludes)
     root = F.coalesce(*[F.when(G.under(F.col("path"), [r]), F.lit(i)) for i, r in enumerate(there)])
-    return files.where(~G.excluded(F.col("path"), excludes)).withColumn("root", root), missing
+    return files.withColumn("root", root), missing
 
 
 def existing(spark: SparkSession, repo: str) -> DataFrame:
     """Every file and directory of the repository, scanned or not; only names are read."""
     _, base = _base(spark, repo)
-    return _listed(spark, [base], base, None).select(F.explode(G.ancestors(F.col("path"))).alias("path")).distinct()
+    return _names(spark, [base], base, None).select(F.explode(G.ancestors(F.col("path"))).alias("path")).distinct()
 
 
 def parse(files: DataFrame, kind: str, test_roots: list[str], tag: str, allow_unknown: bool) -> DataFrame:

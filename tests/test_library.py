@@ -16,7 +16,7 @@ from plumbline.plans import check as C
 from plumbline.plans import config
 from plumbline.plans.registry import Diagnostic, Policy, canonical, check_registry, default_registry
 from plumbline.sources.directives import Directives, UnknownCode
-from plumbline.sources.files import ScanError, scan
+from plumbline.sources.files import ScanError, existing, scan
 from plumbline.sources.markdown import Reader, blocks, code_spans
 from plumbline.sources.python_code import Reader as PythonReader
 
@@ -295,6 +295,16 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["check", str(repo)], spark) == 2
 
 
+def test_scan_finds_names_with_underscores_and_dots(spark, tmp_path):
+    names = ["src/a b+\u00e9.py", "src/_own.py", "src/p/__init__.py", "src/_q/x.py", "src/.r/y.py", "src/empty.py", "src/_none.py", "src/__pycache__/z.py", "src/_t.txt"]
+    for n in names:
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / n).write_text("" if n in ("src/empty.py", "src/_none.py") else f"x = '{n}'\n", encoding="utf-8")
+    got = {r["path"]: r["content"].decode() for r in scan(spark, str(tmp_path), ["src"], "*.py")[0].collect()}
+    assert got == {n: "" if n in ("src/empty.py", "src/_none.py") else f"x = '{n}'\n" for n in names[:7]}
+    assert {r["path"] for r in existing(spark, str(tmp_path)).collect()} >= {*names, "src/_q", "src/.r"}
+
+
 def test_flags_and_doctor(spark, tmp_path, capsys, monkeypatch):
     repo = repository(tmp_path / "r")
     (repo / "plumbline.toml").write_text('[analyze]\nmodel = "third"\n[check]\nwarnings_as_errors = true\n')
