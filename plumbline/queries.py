@@ -727,7 +727,9 @@ def anchor_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _rendered(rows: DataFrame, text: str) -> DataFrame:
     """(path, content, root) of files put together from rows (path, n, text) in the order of n."""
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", text))), lambda x: x[text]), "\n")
-    return rows.groupBy("path").agg(body.cast("binary").alias("content")).withColumn("root", F.lit(0))
+    # dealt first, else every task would gather parts of all files; by number, since reading them costs far more than their bytes tell
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "path").groupBy("path").agg(body.cast("binary").alias("content")).withColumn("root", F.lit(0))
 
 
 @query("SELECT 'docs/specs/' || replace(p_brand, '#', '-') || '.md' AS path, 'PRT-' || p_partkey AS section_id, p_name AS title, CASE p_partkey % 2 WHEN 0 THEN 'src/m' || p_size || '.py' ELSE '' END AS target FROM part")

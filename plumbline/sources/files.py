@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from fnmatch import fnmatch
+from itertools import chain, islice
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -23,6 +24,8 @@ from plumbline.sources.directives import Directives
 #: What a scan leaves out.
 EXCLUDES = [".git", ".venv", "venv", "__pycache__", ".pytest_cache", ".mypy_cache", ".ruff_cache", "dist", "build", ".worktrees"]
 
+#: Records of one Arrow batch that comes out of Python.
+RECORDS = 10_000
 PARSED = "path string, root int, seq long, relation string, data string"
 FIELDS = {
     "section": "section_id string, title string, line long, anchor string, kind string",
@@ -127,21 +130,21 @@ def parse(files: DataFrame, kind: str, test_roots: list[str], tag: str, allow_un
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         directives = Directives(tag, allow_unknown=allow_unknown)
+        kinds = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string()]
         for b in batches:
-            rows = []
-            for path, content, root in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for path, content, root in (tuple(c[i].as_py() for c in b.columns) for i in range(b.num_rows)):
                 try:
                     text = content.decode("utf-8")
                 except UnicodeDecodeError:
-                    records = [("finding", {"code": "FILE_UNREADABLE", "line": None, "message": "not UTF-8"})]
+                    records = iter([("finding", {"code": "FILE_UNREADABLE", "line": None, "message": "not UTF-8"})])
                 else:
                     is_test = any(path == t or path.startswith(t.rstrip("/") + "/") for t in test_roots)
-                    reader = markdown.Reader(path, directives) if kind == "md" else python_code.Reader(path, directives, is_test)
-                    records = [*reader.read(text), ("read", {})]
-                rows += [(path, root, i, r, json.dumps(x)) for i, (r, x) in enumerate(records)]
-            kinds = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string()]
-            cols = zip(*rows, strict=True) if rows else [[] for _ in kinds]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[f.split()[0] for f in PARSED.split(", ")])
+                    read = markdown.Reader(path, directives).read if kind == "md" else python_code.Reader(path, directives, is_test).each
+                    records = chain(read(text), [("read", {})])
+                rows = ((path, root, i, r, json.dumps(x)) for i, (r, x) in enumerate(records))
+                while held := [*islice(rows, RECORDS)]:
+                    cols = zip(*held, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[f.split()[0] for f in PARSED.split(", ")])
 
     return files.select("path", "content", "root").mapInArrow(run, PARSED)
 

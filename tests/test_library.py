@@ -1,6 +1,8 @@
 """The library without the training-data operators: grammar, policy, readers, and a whole small repository."""
 
+import ast
 import json
+import time
 from pathlib import Path
 
 import pytest
@@ -19,6 +21,7 @@ from plumbline.sources.directives import Directives, UnknownCode
 from plumbline.sources.files import ScanError, existing, scan
 from plumbline.sources.markdown import Reader, blocks, code_spans
 from plumbline.sources.python_code import Reader as PythonReader
+from plumbline.sources.python_code import comments, pieces
 
 
 def one(spark, column, **values):
@@ -206,6 +209,31 @@ def test_python_reader():
     assert PythonReader("a.py", Directives(), False).read("def (:\n")[0][1]["code"] == "PYTHON_SYNTAX_ERROR"
 
 
+def test_python_reader_of_a_large_file():
+    text = "".join(f'def load_{i}():\n    """Spec: [PRT-{i}]"""\n    return 1\n\n\n' for i in range(3000))
+    began = time.process_time()
+    got = PythonReader("src/a.py", Directives(), False).read(text)
+    assert time.process_time() - began < 10
+    assert [(r["owner_symbol"], r["line"], r["section_ids"]) for n, r in got if n == "ref"] == [(f"load_{i}", 5 * i + 2, [f"PRT-{i}"]) for i in range(3000)]
+
+
+def test_python_reader_pieces():
+    text = f"{CODE}\n{TESTS}\n" + 'x = """\ndef not_one(\n@nor this\n"""\ny = (1\n@x)\ntry:\n    pass\nfinally:\n    pass\n@staticmethod\n# see [A-1]\ndef g():\n    """Spec: [B-1]"""\n'
+    whole, cuts = ast.dump(ast.parse(text)), set()
+    for size in (1, 40, 200, 1 << 16):
+        got = list(pieces(text, size))
+        cuts.add(len(got))
+        assert ast.dump(ast.Module([s for _, tree, _ in got for s in tree.body], [])) == whole
+        assert [(line + before, said) for before, _, found in got for line, _, said in found] == [(line, said) for line, _, said in comments(text)]
+        assert [s.lineno + before for before, tree, _ in got for s in tree.body] == [s.lineno for s in ast.parse(text).body]
+    assert max(cuts) > 3 and min(cuts) == 1
+    assert [len(list(pieces(x, 1))) for x in ("", "x = 1", "\n", "def f(): pass\n")] == [1, 1, 1, 1]
+    late = "def f(): pass\n" * 5 + "def (:\n" + "def f(): pass\n" * 5
+    with pytest.raises(SyntaxError) as found:
+        list(pieces(late, 1))
+    assert found.value.lineno == 6
+
+
 def test_directives():
     d = Directives(allow_unknown=True)
     assert d.noqa("plumbline: noqa BSC002, CODE_REF_BROAD", 3).codes == ["CODE_REF_BARE_UNRESOLVED", "CODE_REF_BROAD"] and not d.noqa("we write plumbline: noqa BSC002", 1).codes
