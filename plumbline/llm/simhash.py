@@ -48,7 +48,11 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     else:
         grams = [b" ".join(words[i : i + shingle]) for i in range(len(words) - shingle + 1)]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(g, 42) for g in grams], dtype=">u8")
+    return majority(np.array([digest(g, 42) for g in grams], dtype=">u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes (unsigned, big-endian); 0 for none."""
     counts = np.zeros(64, dtype=np.int64)
     for i in range(0, len(hashes), 16384):
         bits = np.unpackbits(hashes[i : i + 16384].view(np.uint8)).reshape(-1, 64)

@@ -76,3 +76,17 @@ def test_near_copies_go(spark):
     kept = sorted(r["doc_id"] for r in P.near_duplicates(spark, docs, "").collect())
     assert kept == sorted(set(up)) and len(kept) <= len(texts) - 55
     assert P.near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
+def test_near_duplicates_take_the_links_of_fingerprints(spark, monkeypatch):
+    rng = random.Random(14)
+    base = ["".join(rng.choice("abcdeghilmnorstu") for _ in range(6)) for _ in range(600)]
+    texts = [" ".join(base), " ".join(base[:-1]), " ".join(["other", *base[100:]]), " ".join(reversed(base)), "", None]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS)
+    prints = {int(simhash.majority(P.similar.shingles(t).astype(">u8"))) for t in texts[:2]}
+    assert len(prints) == 1 or (min(prints) ^ max(prints)).bit_count() <= 2
+    kept = lambda: sorted(r["doc_id"] for r in P.near_duplicates(spark, docs, "").collect())
+    assert kept() == [0, 3, 4]  # 5 is like 4; 2 is farther than two bits, and found in the bands
+    monkeypatch.setattr(P.similar, "bands", lambda own: P.similar.np.zeros(0, P.similar.np.int64))
+    assert kept() == [0, 2, 3, 4]
+    assert simhash.majority(P.similar.np.zeros(0, ">u8")) == 0
