@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.plans.storage import cut, fresh_path, shared_dir
+from plumbline.plans.storage import by_core, cut, fresh_path, shared_dir
 
-__all__ = ["BATCH_BYTES", "BATCH_ROWS", "cut", "fresh_path", "own_names", "shared_dir", "shuffle_parts", "small_batches", "table"]
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "by_core", "cut", "fresh_path", "own_names", "shared_dir", "shuffle_parts", "small_batches", "table"]
 
 #: Rows and bytes of one Arrow batch handed to Python; a batch ends where it reaches either.
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20

@@ -20,8 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import cut, own_names, small_batches, table
-from plumbline.llm.graph import components
+from plumbline.llm.common import by_core, cut, own_names, small_batches, table
+from plumbline.llm.graph import Forest, components
 
 SHINGLE = 3
 BITS = 2
@@ -73,26 +73,6 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, "doc_id long, fp long")
 
 
-class _Forest:
-    """Which of a key's fingerprints already hang together."""
-
-    def __init__(self, n: int) -> None:
-        self.up = list(range(n))
-
-    def top(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        a, b = self.top(i), self.top(j)
-        if a == b:
-            return False
-        self.up[max(a, b)] = min(a, b)
-        return True
-
-
 def _distances(prints: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.stack([np.bitwise_count(prints ^ p) for p in pivots], axis=1).astype(np.int8)
 
@@ -126,20 +106,21 @@ def links_within(prints: np.ndarray, starts: np.ndarray, bits: int, pivots: np.n
     for r in np.flatnonzero(lengths > WINDOWED):
         own = np.arange(starts[r], starts[r + 1])
         own = own[np.argsort(rows[own, 0], kind="stable")]
-        first, forest = rows[own, 0].astype(np.int16), _Forest(len(own))
+        first, forest = rows[own, 0].astype(np.int16), Forest(len(own))
         for i in range(len(own) - 1):
             end = int(np.searchsorted(first, first[i] + bits, side="right"))
             for at in range(i + 1, end, 4096):
                 j = np.arange(at, min(end, at + 4096))
                 hits = j[_close(prints, rows, np.full(len(j), own[i]), own[j], bits)]
                 new = [int(x) for x in hits if forest.join(i, int(x))]
-                a.append(np.full(len(new), own[i]))
-                b.append(own[new] if new else own[:0])
+                if new:
+                    a.append(np.full(len(new), own[i]))
+                    b.append(own[new])
     if not a:
         return prints[:0], prints[:0]
     i, j = np.concatenate(a), np.concatenate(b)
     # small runs: only the links that a forest needs
-    forest, need = _Forest(0), []
+    forest, need = Forest(0), []
     near: dict[int, int] = {}
     for k, (x, y) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
         for n in (x, y):
@@ -201,7 +182,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     in one row.
     """
     prints = cut(fingerprints(docs, id_col, text_col, shingle), "prints")
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
+    distinct = cut(by_core(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))), "distinct")
     roots = components(links(distinct.select("fp"), bits))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
@@ -225,4 +206,4 @@ def one_of_each(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op8: (doc_id, fingerprint, component_id) of every document."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return by_core(found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))

@@ -27,6 +27,15 @@ def fresh_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+def by_core(df: DataFrame) -> DataFrame:
+    """``df`` in as many tasks as there are cores at most, each of which takes whole partitions one after another.
+
+    For tables of narrow rows that are made by a last shuffle: each task that has rows writes a file, and on a file system
+    without Hadoop's native library each file costs its executor three child processes, which start as copies of it.
+    """
+    return df.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism))
+
+
 def cut(df: DataFrame, kind: str = "step") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 

@@ -2,9 +2,11 @@
 
 import hashlib
 import itertools
+import pathlib
 import random
 import re
 import textwrap
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -13,6 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from plumbline.llm import bpe, graph, langid, licences, line_templates, media, neighbours, packing, simhash, token_counts, token_files
+from plumbline.llm.common import shared_dir
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -129,6 +132,55 @@ def test_components_of_a_chain(spark):
     assert len({got[i] for i in range(201)}) == 1 and got[500] == got[501] != got[0] and len(got) == 203
 
 
+@pytest.mark.parametrize("few", [0, 40, 1 << 17])
+def test_components_by_joins_and_on_the_driver(spark, monkeypatch, few):
+    monkeypatch.setattr(graph, "FEW", few)
+    rng = random.Random(few)
+    edges = [(i, i + 1) for i in range(90)] + [(rng.randrange(200, 500), rng.randrange(200, 500)) for _ in range(130)] + [(-5, 2**62), (None, 3), (7, None), (8, 8)]
+    parent = {x: x for pair in edges for x in pair}
+    top = lambda x: x if parent[x] == x else top(parent[x])
+    for x, y in edges:
+        if None not in (x, y):
+            parent[top(x)] = top(y)
+    got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert set(got) == {x for pair in edges if None not in pair and pair[0] != pair[1] for x in pair}
+    groups = {}
+    for x, root in got.items():
+        assert top(x) == top(root)
+        groups.setdefault(top(x), set()).add(root)
+    assert all(len(x) == 1 for x in groups.values())
+    assert graph.components(spark.createDataFrame([(1, 1)], "u long, v long")).count() == 0
+
+
+def test_simhash_writes_few_files_over_many_partitions(spark, tmp_path):
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    shared = pathlib.Path(shared_dir(spark).removeprefix("file://"))
+    before = set(shared.iterdir())
+    words = [f"word{i}" for i in range(400)]
+    rows = [(i, " ".join([*words[:i], f"other{i}", *words[i + 1 :]])) for i in range(300)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    try:
+        for k, v in zip(held, ("64", "false"), strict=True):
+            spark.conf.set(k, v)
+        simhash.query(spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    tables = [*(set(shared.iterdir()) - before), tmp_path / "out"]
+    assert max(len(list(x.glob("part-*"))) for x in tables) <= 4 and len(tables) <= 6
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 300
+
+
+def test_links_of_an_unlike_block_hold_nothing_for_pairs_that_fail():
+    rng = np.random.default_rng(4)
+    prints = np.unique(rng.integers(0, 1 << 63, 6000, dtype=np.int64)).view(np.uint64)
+    tracemalloc.start()
+    u, _ = simhash.links_within(prints, np.array([0, len(prints)]), simhash.BITS, simhash.pivot_values())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert not len(u) and peak < 1_000_000
+
+
 def test_one_of_each_keeps_one(docs, rows):
     clash = docs.withColumns({c: F.lit(1) for c in ("__doc", "component_id", "kept")})
     assert simhash.one_of_each(clash).count() == simhash.one_of_each(docs).count()
