@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import cut, own_names, table
+from plumbline.llm.common import by_core, cut, own_names, table
 from plumbline.llm.graph import components, further
 
 LEADING = 3
@@ -102,15 +102,15 @@ def _alike(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
 def _joined(tokens: DataFrame) -> DataFrame:
     """(node, root): which of the lines hang together; lines like no other are absent."""
     keys = tokens.select("id", F.explode(_keys(F.size("t"), F.col("t"))).alias("k"), "leaf").select("id", F.xxhash64("leaf", "k").alias("k"))
-    keys = cut(keys.distinct(), "keys")
-    leads = cut(keys.groupBy("k").agg(F.min("id").alias("lead"), F.count("*").alias("c")).where("c > 1").select("k", "lead"), "leads")
-    left = cut(keys.join(leads, "k").where("id <> lead"), "left")
+    keys = cut(by_core(keys.distinct()), "keys")
+    leads = cut(by_core(keys.groupBy("k").agg(F.min("id").alias("lead"), F.count("*").alias("c")).where("c > 1").select("k", "lead")), "leads")
+    left = cut(by_core(keys.join(leads, "k").where("id <> lead")), "left")
     roots = components(cut(_alike(left.select(F.col("lead").alias("u"), F.col("id").alias("v")).distinct(), tokens), "alike"))
     left, many = left.select("k", "id"), 1
     while True:
         named = left.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        split = cut(named.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("k"), "split")
-        left = cut(named.join(split, "k"), "left")
+        split = cut(by_core(named.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("k")), "split")
+        left = cut(by_core(named.join(split, "k")), "left")
         if left.isEmpty():
             return roots
         many *= 4
@@ -127,17 +127,17 @@ def recurring(docs: DataFrame) -> DataFrame:
     """(doc, th, ln): the lines to drop; ``docs`` has doc_id and text."""
     lines = cut(_lines(docs), "lines")
     variants = lines.groupBy("h1", "h2").agg(F.min("leaf").alias("leaf"), F.min(F.struct("doc", "ln", "th")).alias("first"), F.max("doc").alias("last"))
-    variants = cut(variants, "variants")
+    variants = cut(by_core(variants), "variants")
     several = F.col("last").isNotNull() & ~F.col("last").eqNullSafe(F.col("first.doc"))
     leaves = variants.where("leaf is not null").groupBy("leaf").agg(F.count("*").alias("n"), F.min("first.doc").alias("low"), F.max("last").alias("last"), F.count_if(F.col("first.doc").isNull()).alias("none"))
     # as a table of its own, so that Spark can split a leaf with very many lines when it joins
-    leaves = cut(leaves.where((F.col("n") > 1) & F.col("last").isNotNull() & ((F.col("none") > 0) | (F.col("low") < F.col("last")))).select("leaf"), "leaves")
+    leaves = cut(by_core(leaves.where((F.col("n") > 1) & F.col("last").isNotNull() & ((F.col("none") > 0) | (F.col("low") < F.col("last")))).select("leaf")), "leaves")
     tokens = _fetched(docs, variants.join(leaves, "leaf"))
     roots = _joined(tokens)
-    named = cut(tokens.select("id", "h1", "h2", "first", "last").join(roots.withColumnRenamed("node", "id"), "id"), "named")
+    named = cut(by_core(tokens.select("id", "h1", "h2", "first", "last").join(roots.withColumnRenamed("node", "id"), "id")), "named")
     grown = named.groupBy("root").agg(F.min("first").alias("first"), F.max("last").alias("last")).where(several).select("root", F.col("first.doc").alias("owner"))
     alone = variants.where(several).join(named.select("h1", "h2"), ["h1", "h2"], "left_anti").select("h1", "h2", F.col("first.doc").alias("owner"))
-    kept = cut(alone.unionByName(named.join(cut(grown, "owners"), "root").select("h1", "h2", "owner")), "kept")
+    kept = cut(by_core(alone.unionByName(named.join(cut(by_core(grown), "owners"), "root").select("h1", "h2", "owner"))), "kept")
     return lines.join(kept, ["h1", "h2"]).where(~F.col("doc").eqNullSafe(F.col("owner"))).select("doc", "th", "ln")
 
 
@@ -153,7 +153,7 @@ def drop_lines(docs: DataFrame) -> DataFrame:
     docs = docs.drop("n_lines", "n_dropped")
     doc, th, gone, lines, size = own_names(docs, "doc", "th", "gone", "lines", "size")
     drops = recurring(docs.select("doc_id", "text")).groupBy(F.col("doc").alias(doc), F.col("th").alias(th)).agg(F.collect_set("ln").alias(gone))
-    drops = cut(drops, "drops")
+    drops = cut(by_core(drops), "drops")
     met = docs.join(drops, docs["doc_id"].eqNullSafe(F.col(doc)) & (F.xxhash64(docs["text"]) == F.col(th)), "left")
     met = met.select(*[met[c] for c in docs.columns], gone, F.explode_outer(F.array(F.split("text", "\n"))).alias(lines))
     met = met.withColumn(size, F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)))

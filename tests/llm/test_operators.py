@@ -171,6 +171,23 @@ def test_simhash_writes_few_files_over_many_partitions(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out").count() == 300
 
 
+def test_tables_of_ids_are_few_files(spark):
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    shared = pathlib.Path(shared_dir(spark).removeprefix("file://"))
+    before = set(shared.iterdir())
+    line = lambda i: " ".join(f"a{chr(97 + (i * 7 + j * j) % 26)}{chr(97 + (i + j) % 26)}" for j in range(12))
+    docs = spark.createDataFrame([(i, line(i) + "\n" + line(i // 2)) for i in range(60)], "doc_id long, text string")
+    try:
+        for k, v in zip(held, ("16", "false"), strict=True):
+            spark.conf.set(k, v)
+        assert line_templates.recurring(docs).count() > 0
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    files = {x.name.split("-")[0]: len(list(x.glob("part-*"))) for x in set(shared.iterdir()) - before}
+    assert files["variants"] <= 4 and files["leaves"] <= 4 and files["kept"] <= 4
+
+
 def test_links_of_an_unlike_block_hold_nothing_for_pairs_that_fail():
     rng = np.random.default_rng(4)
     prints = np.unique(rng.integers(0, 1 << 63, 6000, dtype=np.int64)).view(np.uint64)
